@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from scriptorium.llm import packing, token_counts, word_bpe
+from scriptorium.llm import licenses, packing, secrets, token_counts, word_bpe
 from scriptorium.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,12 +23,22 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(lengths))
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(spark, table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encoded_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.trained(secrets.labelled_samples(spark))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.span_report(secrets.scanned_secrets(docs, model))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op6_token_counts, op9_bpe_codec]
+    found = [op1_best_fit_packing, op6_token_counts, op8_license_scans, op9_bpe_codec, op10_secret_scans]
     return {f.__name__: f for f in found}
 
 
