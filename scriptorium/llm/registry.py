@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import chat, embedding_dedup, licenses, packing, quality, secrets, token_counts, topk, word_bpe
+from scriptorium.llm import chat, embedding_dedup, jaccard, licenses, packing, quality, secrets, token_counts, topk, word_bpe
 from scriptorium.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,6 +42,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(lengths))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(spark, table(spark, sf_dir, "documents"), threshold=0.8)
 
@@ -57,7 +61,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_exact_top_k, op3_quality_classifier, op4_embedding_dedup, op5_chat_formatting, op6_token_counts, op8_license_scans, op9_bpe_codec, op10_secret_scans]
+    found = [op1_best_fit_packing, op2_exact_top_k, op3_quality_classifier, op4_embedding_dedup, op5_chat_formatting, op6_token_counts, op7_ngram_jaccard_join, op8_license_scans, op9_bpe_codec, op10_secret_scans]
     return {f.__name__: f for f in found}
 
 

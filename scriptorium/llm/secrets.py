@@ -180,3 +180,13 @@ def redacted(found: DataFrame, mark: str = "[secret]", text: str = "text") -> Da
     )
     rest = F.substring(t, (F.array_max(F.transform(spans, lambda s: s["end"])) + 1).cast("int"), F.length(t))
     return found.withColumn(text, F.when(F.size(spans) > 0, F.concat(F.array_join(kept, ""), rest)).otherwise(F.col(text))).drop("base_spans", "spans")
+
+
+def without_secrets(docs: DataFrame, model: list[float], mark: str = "[secret]") -> DataFrame:
+    """`docs` with every secret in text replaced by `mark`, and n_chars, where there is such a column, as the new text has it."""
+    found = scanned_secrets(docs, model)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("__hit", F.size("spans") > 0)
+        new = F.when(F.col("__hit"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        return redacted(found, mark).withColumn("n_chars", new).select(*docs.columns)
+    return redacted(found, mark).select(*docs.columns)
