@@ -6,13 +6,14 @@ and all later windows over documents reuse that partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from scriptorium.functions import lexicon as lx
 from scriptorium.functions import text as tx
 
-DOC = Window.partitionBy("doc_id")
+def by_doc() -> WindowSpec:
+    return Window.partitionBy("doc_id")
 
 
 def section_of(heading: Column) -> Column:
@@ -32,8 +33,8 @@ def lines(docs: DataFrame) -> DataFrame:
     The section of a line is that of the last heading at or above it ("other" above the first).
     """
     raw = F.regexp_extract_all("text", F.lit(rf"[^{lx.LINE_BREAK}]*(?:\r\n|[{lx.LINE_BREAK}]|$)"), 0)
-    so_far = DOC.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    until = DOC.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = by_doc().orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    until = by_doc().orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     cut = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(raw).alias("line_no", "raw")).where("raw <> ''")
     core = cut.withColumn("line", F.regexp_replace("raw", r"[\r\n]+$", "")).withColumn("core", tx.strip(F.col("line")))
     heading = (F.col("core") != "") & (tx.n_words(F.col("core")) <= 16) & tx.has(F.col("core"), lx.SECTION_HEADING)
@@ -90,7 +91,7 @@ def sentences(docs: DataFrame) -> DataFrame:
     start = (F.col("at") + F.col("from")).cast("int")
     return placed.where(tx.strip(F.col("text")) != "").select(
         "doc_id",
-        (F.row_number().over(DOC.orderBy("line_no", "sentence_index")) - 1).alias("index"),
+        (F.row_number().over(by_doc().orderBy("line_no", "sentence_index")) - 1).alias("index"),
         "paragraph_index",
         "sentence_index",
         "text",
