@@ -114,26 +114,21 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most `most` labelled rows outside the held-out fold, chosen by a hash of their ids.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """doc_id, label, text of at most `most` labelled rows outside the held-out fold, chosen by a hash of their ids.
 
     Rows with a null id or label take no part; of several labels of an id the greatest counts.
     The ids are chosen first, so that only their texts are moved.
     """
     one = F.col(label).cast("int")
     usable = labels.where(F.col("doc_id").isNotNull() & one.isin(0, 1) & ~held_out()).select("doc_id", one.alias("label"))
-    chosen = (
-        usable.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    )
-    rows = (
+    chosen = usable.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return (
         docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         .join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id", "label")
         .agg(F.min("text").alias("text"))
-        .collect()
     )
-    rows.sort(key=lambda r: r["doc_id"])
-    return [r["text"] for r in rows], [r["label"] for r in rows]
 
 
 def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
@@ -154,8 +149,19 @@ def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 4000) -> Model:
-    """Trained on at most `most` rows; see `training_rows`."""
-    return trained(*training_rows(docs, labels, label, most))
+    """Trained in one task, on at most `most` rows in the order of their ids; see `training_rows`.  Only weights reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            labels += batch.column("label").to_pylist()
+        model = trained(texts, labels)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias])], ["weight", "bias"])
+
+    rows = training_rows(docs, labels, label, most).repartition(1).sortWithinPartitions("doc_id")
+    found = rows.mapInArrow(run, "weight binary, bias double").collect()[0]
+    return Model(np.frombuffer(found["weight"], np.float32), found["bias"])
 
 
 def judged(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
