@@ -37,6 +37,8 @@ TREES, DEPTH = 24, 8
 MARGIN = 0.22
 #: Members of a bucket, and classes with their sets, that meet in a task: at most two tiles.
 BUCKET_TILE, SET_TILE = 1024, 512
+#: Up to so many grouped classes (of some 100 bytes) go to all executors, to pick their texts without a shuffle of all texts.
+FEW = 500_000
 
 
 def shortened(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -184,7 +186,8 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float, size: int = W
     groups: k1, k2 (of a row of the class), ord, c1, weight, group.  Each group's classes meet in tiles.
     """
     sized = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / SET_TILE).cast("int").alias("tiles")).where("tiles > 0")
-    texts = docs.select(*row_keys(), F.col("text").cast("string").alias("text")).join(groups, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    wanted = F.broadcast(groups) if groups.count() <= FEW else groups
+    texts = docs.select(*row_keys(), F.col("text").cast("string").alias("text")).join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +247,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999
         F.min(F.struct("ord", "k1", "k2")).alias("row"), F.count(F.lit(1)).alias("weight"), F.first("prefixes").alias("prefixes"), F.first("bytes").alias("bytes")
     )
     reps = written(reps.select("c1", "c2", "row", F.col("row.ord").alias("ord"), "weight", "prefixes", "bytes"), "classes")
-    near = components(bucket_links(reps, threshold - MARGIN))
+    near = components(written(bucket_links(reps, threshold - MARGIN), "candidates"))
     groups = near.select(F.col("node.ord").alias("ord"), F.col("node.c1").alias("c1"), F.col("component").alias("group")).join(
         reps.select("ord", "c1", "weight", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2")), ["ord", "c1"]
     )
