@@ -13,6 +13,7 @@ from scriptorium.functions import lexicon as lx
 from scriptorium.functions import text as tx
 from scriptorium.operators import families, paragraphs, signals, style
 from scriptorium.operators import segments as seg
+from scriptorium.sources.scratch import stored
 
 SCHEMA_VERSION = "1-prose-coverage"
 LAYERS = {"category_pct": 0.25, "statistical_pct": 0.35, "segment_pct": 0.30, "consistency_pct": 0.10}
@@ -61,9 +62,10 @@ def document_scores(docs: DataFrame, as_of_year: int, reference_lm: DataFrame |
     reference_lm(doc_id, the reference features, curvature_pct) is optional; without it those features are 0.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    segments = signals.scored_segments(seg.sentences(docs))
-    prose = seg.prose_text(segments)
-    report = style.style_report(prose)
+    # Six branches read the sentences and the prose; both are scored and written once.
+    segments = stored(signals.scored_segments(seg.sentences(docs)))
+    prose = stored(seg.prose_text(segments))
+    report = stored(style.style_report(prose))
     prints = style.fingerprint(prose, segments, report, as_of_year)
     judged = families.family_scores(prose.join(report.select("doc_id", "repeated_frame_density"), "doc_id"))
     kept = ["doc_id", *lx.FAMILY_WEIGHTS, "J", "category_pct", "lexical_pct", "consistency_pct", "verdict", "confidence"]
