@@ -204,4 +204,23 @@ def oracle_sql() -> dict[str, str]:
         "external_disagreement": f"WITH {_corpus()} SELECT count(*) AS n_multiple, round(avg(abs(a - b)), 2) AS mean_range, round(median(abs(a - b)), 2) AS median_range FROM corpus WHERE doc_id % 4 > 0",
         "detector_counts": f"WITH {_corpus()} SELECT 'a' AS detector, count(*) AS n FROM corpus UNION ALL SELECT 'b', count(*) FROM corpus WHERE doc_id % 4 > 0",
     }
-    return quick
+    generic = " + ".join(f"CASE WHEN {hits('a', p)} > 0 THEN least({max(4, w // 3)} + ({hits('a', p)} - 1) * 2, 12) ELSE 0 END" for p, _, w in lx.GENERIC)
+    marks = {c: f"(length(a) - length(replace(a, '{c}', '')))" for c in ";,"}
+    frames = " + ".join(f"CASE WHEN all{i} > greatest(2, doc_words // 500) AND f{i} > 0 THEN least(12, 3 + all{i}) ELSE 0 END" for i in range(len(lx.FRAMES)))
+    mine = "CASE WHEN NOT protected THEN"
+    quick["contextual_risk"] = f"""WITH {SCORED}, b AS (SELECT *, {mine} nullif({opening('a')}, '') END AS o, {mine} nullif(lower(regexp_extract(a, {lit('(?i)' + lx.CONNECTOR)}, 1)), '') END AS k,
+ {nw('a')} AS n, {', '.join(f"{mine} {hits('a', chr(92) + 'b' + f + chr(92) + 'b')} ELSE 0 END AS f{i}" for i, f in enumerate(lx.FRAMES))} FROM scored),
+ c AS (SELECT *, count(o) OVER (PARTITION BY doc_id, o) AS same_o, count(CASE WHEN NOT protected AND sentence_index = 0 THEN 1 END) OVER (PARTITION BY doc_id, o) AS same_p,
+ count(k) OVER (PARTITION BY doc_id, k) AS same_k, sum({mine} n END) OVER d AS doc_words, {', '.join(f'sum(f{i}) OVER d AS all{i}' for i in range(len(lx.FRAMES)))} FROM b WINDOW d AS (PARTITION BY doc_id)),
+ r AS (SELECT doc_id, index, protected, {mine} least(100, own_risk + {generic} + CASE WHEN o IS NOT NULL AND same_o > 2 THEN least(18, 6 * (same_o - 2)) ELSE 0 END
+ + CASE WHEN sentence_index = 0 AND o IS NOT NULL AND same_p > 1 THEN least(18, 8 * (same_p - 1)) ELSE 0 END + CASE WHEN k IS NOT NULL AND same_k > 2 THEN 12 ELSE 0 END
+ + CASE WHEN n > 65 THEN 8 WHEN n BETWEEN 1 AND 4 THEN 4 ELSE 0 END + CASE WHEN {marks[';']} >= 2 THEN 12 ELSE 0 END + CASE WHEN {marks[',']} >= 7 THEN 10 ELSE 0 END
+ + CASE WHEN {hits('a', r'\b(?:this|these|it)\b')} >= 5 THEN 10 ELSE 0 END + CASE WHEN {hits('a', lx.CERTAINTY)} >= 2 THEN 10 ELSE 0 END
+ + CASE WHEN {has('a', lx.UNSUPPORTED)} AND NOT {has('a', lx.CITATION)} THEN 14 ELSE 0 END + CASE WHEN {has('a', lx.VAGUE_TIME_WIDE)} AND NOT {has('a', lx.YEAR)} THEN 10 ELSE 0 END
+ + CASE WHEN {percent_bad} > 0 THEN 18 ELSE 0 END + {frames} + CASE WHEN {hits('a', lx.CITATION)} >= 3 THEN 8 ELSE 0 END) ELSE 0 END AS risk FROM c)
+ SELECT doc_id, index, risk::INT AS risk, CASE WHEN protected THEN 'protected' WHEN risk >= 70 THEN 'high' WHEN risk >= 45 THEN 'moderate' WHEN risk >= 25 THEN 'low' ELSE 'natural' END AS band FROM r"""
+    listed = {k: lx.EVIDENCE[k] for k in ("years", "placeholders", "citation_blocks", "emails", "acronyms")}
+    quick["preservation_signature"] = f"WITH {DOCS} SELECT doc_id, " + ", ".join(
+        f"array_to_string(regexp_extract_all({asc('text').replace(chr(39) + '_' + chr(39), chr(39) + 'a' + chr(39)) if k == 'acronyms' else 'text'}, {lit(('' if cased else '(?i)') + p)}), '|') AS {k}" for k, (p, cased) in listed.items()
+    ) + " FROM docs"
+    return {k: re.sub(r"(count_if\([^()]*\))", r"\1::BIGINT", v) for k, v in quick.items()}

@@ -68,7 +68,12 @@ def flagged_sentences(spark, sf):
 
 def contextual_risk(spark, sf):
     out = signals.scored_segments(_segments(spark, sf))
-    return out.select("doc_id", "index", "risk", "band", F.array_join("signal_keys", ",").alias("signal_keys"), "primary_signal")
+    return out.select("doc_id", "index", F.col("risk").cast("int").alias("risk"), "band")
+
+
+def segment_families(spark, sf):
+    out = signals.scored_segments(_segments(spark, sf))
+    return out.select("doc_id", "index", F.array_join("signal_keys", ",").alias("signal_keys"), "primary_signal", "reasons")
 
 
 def repeated_openings(spark, sf):
@@ -320,7 +325,7 @@ def topk_risks(spark, sf):
 def queries() -> dict[str, Query]:
     named = [
         sentence_segments, section_asof, protected_segments, paragraph_lines, sentence_stats, word_counts, lexical_diversity, sentence_risk,
-        flagged_sentences, contextual_risk, repeated_openings, repeated_connectors, repeated_frames, section_profile, coverage, burstiness_windows,
+        flagged_sentences, contextual_risk, segment_families, repeated_openings, repeated_connectors, repeated_frames, section_profile, coverage, burstiness_windows,
         anaphora_runs, ngram_repetition, top_token_share, syntactic_signatures, content_density, temporal_score, implausibility, text_digest, html_escape,
         interval_flagged_lines, segment_scores, segment_percentiles, paragraph_units, families_wide, strongest_families, naturalness, fingerprint,
         ai_signal_by_document, feature_vectors, reference_features, preservation_signature, preservation_gate, certificate, batch_packing, rewrite_local,
