@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.byte_bpe import loaded
+from scriptorium.llm.common import written
 
 #: Lengths are summed in blocks of so many, so that no task sees all lengths of a corpus.
 BLOCK = 1024
@@ -42,7 +43,8 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     answer every limit exactly (see `truncated_total`).  An empty histogram gives no rows.
     """
     tokens = F.col("n_tokens") * F.col("n_docs")
-    h = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    # Two branches read the histogram; it is small, and what it is made of is not.
+    h = written(histogram, "histogram").withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("b_docs"), F.sum(tokens).alias("b_tokens"))
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
