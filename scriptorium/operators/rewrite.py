@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import lexicon as lx
 from scriptorium.functions import text as tx
 from scriptorium.operators import edits, preservation, style
+from scriptorium.sources.scratch import stored
 
 LEVELS = {"light": ["light"], "balanced": ["light", "balanced"], "deep": ["light", "balanced", "deep"]}
 GUIDED_LEVELS = {"light": ["light"], "balanced": ["balanced", "deep"], "deep": ["deep"]}
@@ -89,7 +90,7 @@ def chosen(sources: DataFrame, candidates: DataFrame, never_worse: bool) -> Data
     """
     rank = F.create_map(*[x for i, v in enumerate(("light", "balanced", "deep")) for x in (F.lit(v), F.lit(i))])
     both = candidates.join(sources, "doc_id").withColumn("issues", preservation.broken(F.col("text"), F.col("candidate"), F.col("change_limit"), F.col("terms")))
-    both = both.withColumn("key", F.concat_ws(":", "doc_id", "level"))
+    both = stored(both.withColumn("key", F.concat_ws(":", "doc_id", "level")))  # three branches read the candidates
     scored = style.style_report(both.select(F.col("key").alias("doc_id"), F.col("candidate").alias("text")))
     scored = scored.select(F.col("doc_id").alias("key"), F.col("naturalness_score").alias("score_after"))
     ok = both.where(F.size("issues") == 0).join(scored, "key").withColumn("rank", F.element_at(rank, F.col("level")))
