@@ -136,3 +136,14 @@ def test_html(spark):
     df = spark.createDataFrame([(1, "Moreover, <b> staff leverage tools.\nIt was & is."), (2, "")], "doc_id long, text string")
     got = {r["doc_id"]: r["html"] for r in documents.coloured_html(df, signals.scored_segments(segments.sentences(df))).collect()}
     assert "&lt;b&gt;" in got[1] and "<br>" in got[1] and 'signal-A"' in got[1] and got[2] == ""
+
+
+def test_guided_rewrite_follows_the_families(spark):
+    from scriptorium.operators import segments, signals
+
+    text = "Furthermore, it is important to note that teams often leverage a myriad of tools in 2020. It was plain. Moreover, the results are clear to all of us here today."
+    df = spark.createDataFrame([(1, text), (2, "It was plain here for all.")], "doc_id long, text string")
+    zeros = [f"{int(k in 'AF')} AS {k}" for k in "ABCDEFGHI"] + [f"0 AS {m}" for m in rewrite.METRIC_FAMILIES]
+    scores = spark.range(1, 3).selectExpr("id AS doc_id", *zeros)
+    got = {r["doc_id"]: r for r in rewrite.rewritten_guided(df, scores, signals.scored_segments(segments.sentences(df))).collect()}
+    assert got[1]["applied"] and got[1]["text"].startswith("Teams often leverage many tools in 2020.") and not got[2]["applied"]
