@@ -46,9 +46,10 @@ information nacional historia desarrollo universidad maison travail politique ch
 
 
 def labelled_samples(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """text, secret (1: random characters, 0: identifiers made of words); the same for a given number of rows."""
-    sets = [ALPHABET[1:63], ALPHABET[1:65], ALPHABET[27:63], ALPHABET[1:27] + ALPHABET[53:63], "0123456789abcdef"]
-    listed = {"sets": sets, "words": WORDS, "joints": ["", "_", "-", "/", "_", ""]}
+    """text, secret (1: random characters, 0: identifiers made of words, and some rules of marks); the same for a given number of rows."""
+    sets = [ALPHABET[1:63], ALPHABET[1:65], ALPHABET[27:63], ALPHABET[1:27] + ALPHABET[53:63], "0123456789abcdef",
+            ALPHABET[1:53], ALPHABET[27:53], ALPHABET[1:27]]
+    listed = {"sets": sets, "words": WORDS, "joints": ["", "_", "-", "/", "_", ""], "marks": list(ALPHABET[63:])}
     arrays = [F.array(*map(F.lit, x)).alias(k) for k, x in listed.items()]
     word = f"element_at(words, 1 + int(pmod(xxhash64(id, i), {len(WORDS)})))"
     return (
@@ -60,6 +61,8 @@ def labelled_samples(spark: SparkSession, rows: int = 6000) -> DataFrame:
             "secret",
             f"""CASE WHEN secret = 1 THEN array_join(transform(sequence(1, 20 + int(pmod(xxhash64(id, 'n'), 29))),
                     i -> substr(chars, 1 + int(pmod(xxhash64(id, i), length(chars))), 1)), '')
+                WHEN n % 21 = 20 THEN array_join(transform(sequence(1, 1 + int(pmod(xxhash64(id, 'w'), 4))),
+                    i -> repeat(element_at(marks, 1 + int(pmod(xxhash64(id, i), size(marks)))), 4 + int(pmod(xxhash64(id, i, 'r'), 30)))), '+')
                 ELSE array_join(transform(sequence(1, 3 + int(pmod(xxhash64(id, 'w'), 4))), i -> CASE
                     WHEN n % 6 = 0 THEN initcap({word}) WHEN n % 6 = 1 THEN upper({word})
                     WHEN n % 6 = 2 AND i % 4 = 3 THEN string(pmod(xxhash64(id, i), 2030)) ELSE {word} END), joint) END AS text""",
@@ -125,7 +128,7 @@ def scanned_secrets(docs: DataFrame, model: list[float], threshold: float = 0.35
 
     base_spans are the matches of the base patterns, spans those and the tokens of 20
     characters or more whose mean log-likelihood ratio a character is at least
-    `threshold`; tokens without a digit or without a letter are not judged.  Null and empty texts have none.  Existing columns of these names are replaced.
+    `threshold`.  Null and empty texts have none.  Existing columns of these names are replaced.
     """
     t = whole(text)
     every = docs.drop("base_spans", "spans").select(
@@ -137,10 +140,7 @@ def scanned_secrets(docs: DataFrame, model: list[float], threshold: float = 0.35
         F.regexp_extract_all(t, F.lit(TOKEN), 0).alias("__token"),
     )
     good = F.transform(F.col("__value"), lambda v: F.length(v) >= ASSIGNED)
-    likely = F.transform(
-        F.col("__token"),
-        lambda x: F.when(x.rlike("[0-9]") & x.rlike("[A-Za-z]"), log_ratio(x, model) >= threshold * F.length(x)).otherwise(False),
-    )
+    likely = F.transform(F.col("__token"), lambda x: log_ratio(x, model) >= threshold * F.length(x))
     marked = every.withColumn("__likely", likely)
     parts = marked.select(
         *docs.drop("base_spans", "spans").columns,

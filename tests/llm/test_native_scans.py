@@ -79,6 +79,17 @@ def test_markov_tells_random_from_ordinary(spark, rows):
     assert secrets.span_report(secrets.scanned_secrets(prose, model)).where("spans LIKE '%markov%'").count() <= 5
 
 
+def test_keys_of_letters_alone(spark):
+    model = secrets.trained(secrets.labelled_samples(spark))
+    r, sets = random.Random(6), (secrets.ALPHABET[1:53], secrets.ALPHABET[27:53], secrets.ALPHABET[1:27])
+    keys = ["kQzXvBnTjLwPrHsYdMcGfRta", *("".join(r.choice(x) for _ in range(24 + i % 17)) for i in range(100) for x in sets)]
+    plain = ["getUserAccountTransactionHistory", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT", "anticonstitutionnellement", "-" * 50, "+---------+-----+--------+", "_" * 25, "31415926535897932384626"]
+    df = spark.createDataFrame(list(enumerate(keys + plain)), "doc_id long, text string")
+    hit = {x["doc_id"]: "markov" in x["spans"] for x in secrets.span_report(secrets.scanned_secrets(df, model)).collect()}
+    assert hit[0] and sum(hit[i] for i in range(len(keys))) >= 0.97 * len(keys)
+    assert [t for i, t in enumerate(plain) if hit[len(keys) + i]] == []
+
+
 def test_licenses_against_python(spark, rows):
     found = licenses.license_labels(spark, spark.createDataFrame(rows, DOCS)).collect()
     assert len(found) == len(rows)
