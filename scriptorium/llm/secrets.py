@@ -24,7 +24,11 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: What the models see: a start mark, and the characters of tokens.
 ALPHABET = "^ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+TOKEN = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: What joins the parts of a token; a part is a run without joints, or of joints alone.
+JOINTS = "[/=_+-]+"
+PARTS = f"[A-Za-z0-9]+|{JOINTS}"
 
 #: Ordinary words of which identifiers are made for training, of the languages that the corpora hold.
 WORDS = """account address after amount and array available base before between bibliotheca branch buffer build cache
@@ -105,6 +109,45 @@ def log_ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(token)), state, step, lambda acc: acc["sum"])
 
 
+def likely_spans(token: Column, model: list[float], threshold: float) -> Column:
+    """array<struct<start, end>> in a token: all of it if its mean ratio is at least `threshold`, or else each likely stretch of parts.
+
+    A part weighs what its ratio, as a token of its own, is over the threshold, joints are
+    below it by just the threshold.  A stretch goes on while its weights sum to more than
+    zero, ends where the sum is greatest, and counts from LEAST characters on.
+    """
+    span = "struct<start: bigint, end: bigint>"
+
+    def weighed(part: Column) -> Column:
+        ratio = F.when(part.rlike(f"^{JOINTS}"), F.lit(0.0)).otherwise(log_ratio(part, model))
+        return F.struct(code_points(part).alias("n"), (ratio - threshold * F.length(part)).alias("weight"))
+
+    def ended(acc: Column) -> Column:
+        long = (acc["best"] > 0) & (acc["end"] - acc["start"] >= LEAST)
+        return F.when(long, F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["done"])
+
+    def step(acc: Column, part: Column) -> Column:
+        new = acc["sum"] <= 0
+        total = F.when(new, F.lit(0.0)).otherwise(acc["sum"]) + part["weight"]
+        best, at = F.when(new, F.lit(0.0)).otherwise(acc["best"]), acc["at"] + part["n"]
+        return F.struct(
+            at.alias("at"),
+            total.alias("sum"),
+            F.when(new, acc["at"]).otherwise(acc["start"]).alias("start"),
+            F.when(total > best, at).otherwise(acc["end"]).alias("end"),
+            F.greatest(total, best).alias("best"),
+            F.when(new, ended(acc)).otherwise(acc["done"]).alias("done"),
+        )
+
+    zero = F.lit(0).cast("long")
+    state = F.struct(
+        zero.alias("at"), F.lit(0.0).alias("sum"), zero.alias("start"), zero.alias("end"), F.lit(0.0).alias("best"), F.array().cast(f"array<{span}>").alias("done")
+    )
+    parts = F.transform(F.regexp_extract_all(token, F.lit(PARTS), 0), weighed)
+    all_of_it = F.array(F.struct(zero.alias("start"), code_points(token).alias("end")))
+    return F.when(log_ratio(token, model) >= threshold * F.length(token), all_of_it).otherwise(F.aggregate(parts, state, step, ended))
+
+
 def _spans(text: Column, pattern: str, kind: int, good: Column, matches: Column) -> Column:
     """array<struct<start, kind, end>> of the matches for which `good`, an array of booleans, holds."""
     starts = match_starts(text, pattern, matches)
@@ -126,9 +169,8 @@ def _listed(spans: Column) -> Column:
 def scanned_secrets(docs: DataFrame, model: list[float], threshold: float = 0.35, text: str = "text") -> DataFrame:
     """`docs` with base_spans and spans: array<struct<start, kind, end>>, in code points, end exclusive, by start and kind.
 
-    base_spans are the matches of the base patterns, spans those and the tokens of 20
-    characters or more whose mean log-likelihood ratio a character is at least
-    `threshold`.  Null and empty texts have none.  Existing columns of these names are replaced.
+    base_spans are the matches of the base patterns, spans those and, of the tokens of
+    LEAST characters or more, what `likely_spans` finds.  Null and empty texts have none.  Existing columns of these names are replaced.
     """
     t = whole(text)
     every = docs.drop("base_spans", "spans").select(
@@ -140,7 +182,7 @@ def scanned_secrets(docs: DataFrame, model: list[float], threshold: float = 0.35
         F.regexp_extract_all(t, F.lit(TOKEN), 0).alias("__token"),
     )
     good = F.transform(F.col("__value"), lambda v: F.length(v) >= ASSIGNED)
-    likely = F.transform(F.col("__token"), lambda x: log_ratio(x, model) >= threshold * F.length(x))
+    likely = F.transform(F.col("__token"), lambda x: likely_spans(x, model, threshold))
     marked = every.withColumn("__likely", likely)
     parts = marked.select(
         *docs.drop("base_spans", "spans").columns,
@@ -148,8 +190,14 @@ def scanned_secrets(docs: DataFrame, model: list[float], threshold: float = 0.35
         _spans(t, ACCESS, 1, F.transform("__access", lambda _: F.lit(True)), F.col("__access")).alias("__s1"),
         _spans(t, HEX, 2, F.transform("__hex", lambda _: F.lit(True)), F.col("__hex")).alias("__s2"),
         F.when(
-            F.exists("__likely", lambda x: x),
-            _spans(t, TOKEN, 3, F.col("__likely"), F.col("__token")),
+            F.exists("__likely", lambda x: F.size(x) > 0),
+            F.flatten(
+                F.zip_with(
+                    match_starts(t, TOKEN, F.col("__token")),
+                    F.col("__likely"),
+                    lambda s, found: F.transform(found, lambda x: F.struct((s + x["start"]).alias("start"), F.lit(3).alias("kind"), (s + x["end"]).alias("end"))),
+                )
+            ),
         ).otherwise(F.array().cast("array<struct<start: bigint, kind: int, end: bigint>>")).alias("__s3"),
     )
     return parts.select(

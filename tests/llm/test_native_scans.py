@@ -90,6 +90,24 @@ def test_keys_of_letters_alone(spark):
     assert [t for i, t in enumerate(plain) if hit[len(keys) + i]] == []
 
 
+def test_keys_joined_to_ordinary_text(spark):
+    model = secrets.trained(secrets.labelled_samples(spark))
+    r = random.Random(7)
+    before = ["example/org/files/download/", "user/project/resource/download/session/", "api/v2/clients/settings/index/local/container/access_key=", "client_parameter_live_"]
+    texts, keys = [], []
+    for i in range(120):
+        key = "".join(r.choice(secrets.ALPHABET[1:63]) for _ in range((24, 32, 40)[i % 3]))
+        texts.append("https://" + before[i % 4] + key + ("", "/user/project/resource/view", "_container")[i % 5 % 3])
+        keys.append(key)
+    texts.append(before[1] + keys[0] + "/" + before[1] * 3 + keys[1] + "/view")  # two in one run
+    plain = ["user/project/resource/download/session/account_history/2019/language-version", "language=change&option=standard_output_format/2021/04"]
+    df = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id long, text string")
+    masked = {x["doc_id"]: x["text"] for x in secrets.without_secrets(df, model).collect()}
+    assert sum(k not in masked[i] for i, k in enumerate(keys)) >= 0.98 * len(keys)
+    assert masked[len(keys)] == before[1] + "[secret]/" + before[1] * 3 + "[secret]/view"
+    assert [masked[len(texts) + i] for i in range(len(plain))] == plain
+
+
 def test_licenses_against_python(spark, rows):
     found = licenses.license_labels(spark, spark.createDataFrame(rows, DOCS)).collect()
     assert len(found) == len(rows)
