@@ -1,8 +1,9 @@
 """N-gram Jaccard join: a MinHash LSH forest with exact verification.
 
 A document is the set of its runs of five words (letters, digits and underscores,
-in lower case); one with one to four words has the one run of them all.  Texts of
-equal sets are one class, and only one of each class goes on.
+in lower case); one with one to four words has the one run of them all, and one
+without words that is not empty has itself.  Texts of equal sets are one class, and
+only one of each class goes on.
 
 The forest has a number of trees; in each, the classes are sorted by a signature
 of minimum hashes, a prefix trie.  Two classes are candidates if they share a
@@ -17,6 +18,7 @@ tiles of bounded size, and every pair among them is counted there.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +51,9 @@ def shortened(threshold: float, recall: float, trees: int = TREES, depth: int =
 
 
 def shingle_sets(texts: list[str], size: int = WORDS) -> list[np.ndarray]:
-    """Sorted hashes of the distinct runs of `size` words of each text; of fewer words, one run of them all; without words, none."""
+    """Sorted hashes of the distinct runs of `size` words of each text; of fewer words, one run of them all; without words, the whole text, if not empty."""
     out: list[np.ndarray] = []
+    at = 0
     for part in portions(t.lower() for t in texts):
         h = Hashed(part)
         a, b = h.words(word_characters())
@@ -59,7 +62,7 @@ def shingle_sets(texts: list[str], size: int = WORDS) -> list[np.ndarray]:
         run = np.zeros(max(0, len(word) - size + 1), np.uint64)
         for k in range(size):
             run = mixed(run * np.uint64(31) + word[k : k + len(run)])
-        for i, j in zip(first[:-1], first[1:], strict=True):
+        for i, j, text in zip(first[:-1], first[1:], texts[at : at + len(part)], strict=True):
             if j - i >= size:
                 out.append(np.unique(run[i : j - size + 1]))
             elif j > i:
@@ -68,7 +71,9 @@ def shingle_sets(texts: list[str], size: int = WORDS) -> list[np.ndarray]:
                     one = mixed(one * np.uint64(31) + w)
                 out.append(np.array([one], np.uint64))
             else:
-                out.append(np.zeros(0, np.uint64))
+                digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                out.append(np.frombuffer(digest if text else b"", np.uint64))
+        at += len(part)
     return out
 
 
@@ -237,8 +242,8 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999
 
     k1 and k2 are `row_keys` of the row.  weight: rows of the class; n_links: other rows whose
     Jaccard similarity is at least `threshold`, those of the class included; first (struct
-    ord, k1, k2): the first row, by id, of all that links reach.  Rows without words (null and
-    empty texts too) link with nothing.  Repeated rows are rows of their own.
+    ord, k1, k2): the first row, by id, of all that links reach.  Rows without words link with
+    those of the same text; null and empty texts link with nothing.  Repeated rows are rows of their own.
     """
     docs = docs.select("doc_id", "text")
     rows = written(classes_of(docs, shortened(threshold, recall, trees, depth), trees, size), "rows")

@@ -105,6 +105,15 @@ def test_jaccard(spark, sf, monkeypatch):
     assert sorted((r["doc_id"] for r in kept), key=repr) == sorted({ordered[x][0] for x in root}, key=repr)
 
 
+def test_jaccard_without_words(spark):
+    texts = ["-----", "*** ***", "-----", "\U0001f600\U0001f600", "----", "one two", "-----", "\U0001f600\U0001f600", "", "", None, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["kept"]) for r in jaccard.joined(df).collect()}
+    copies = {0: (0, 2, True), 2: (0, 2, False), 6: (0, 2, False), 3: (3, 1, True), 7: (3, 1, False)}
+    assert got == {i: copies.get(i, (i, 0, True)) for i in range(len(texts))}
+    assert sorted(r["doc_id"] for r in jaccard.distinct_documents(df).collect()) == [0, 1, 3, 4, 5, 8, 9, 10, 11]
+
+
 def test_jaccard_empty(spark):
     assert jaccard.joined(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert jaccard.joined(spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")).count() == 2
