@@ -1,14 +1,15 @@
-"""N-gram Jaccard join: a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join: MinHash LSH with exact verification.
 
 A document is the set of its runs of five words (letters, digits and underscores,
 in lower case); one with one to four words has the one run of them all, and one
 without words that is not empty has itself.  Texts of equal sets are one class, and
 only one of each class goes on.
 
-The forest has a number of trees; in each, the classes are sorted by a signature
-of minimum hashes, a prefix trie.  Two classes are candidates if they share a
-prefix in some tree.  The prefix that counts starts at the full signature and is
-shortened until a pair right at the threshold is found with the target recall.
+Fixed banding stands in for an LSH forest: in each of a number of trees, two classes
+are candidates if the same minimum hashes make up their prefix.  The depth of the
+prefix is one for the table: the greatest, from the full one down, at which a pair
+right at the threshold is found with the target recall.  A hash of the prefix finds
+what sorted tries cut at that depth would.
 
 Candidates whose signatures agree far too seldom for the threshold are let go; the
 rest are verified exactly.  They are not listed in pairs: a bucket hands on a tree
