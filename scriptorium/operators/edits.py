@@ -16,6 +16,8 @@ from scriptorium.functions import phrases as ph
 I = re.IGNORECASE
 BREAK = re.compile(lx.SENTENCE_BREAK)
 PRIVATE = 0xE000
+#: Private characters of a supplementary plane.
+PLANE = 0xFFFE
 
 
 def n_words(text: str) -> int:
@@ -43,8 +45,16 @@ CONNECTOR = re.compile(ph.CONNECTORS, I)
 DIRECT = re.compile(lx.DIRECT_VERB, I)
 
 
+def private(i: int) -> str:
+    """The i-th mark: a private character, of the basic plane and then of plane 15; after those, one of plane 16 before one of plane 15."""
+    if i < 6400:
+        return chr(PRIVATE + i)
+    lead, at = divmod(i - 6400, PLANE)
+    return (chr(0x100000 + lead - 1) if lead else "") + chr(0xF0000 + at)
+
+
 class Masked:
-    """A text whose protected spans, the first kind that finds them first, are single private characters."""
+    """A text whose protected spans, the first kind that finds them first, are private characters."""
 
     def __init__(self, text: str, terms: list[str]):
         taken, self.kept = [], {}
@@ -55,14 +65,17 @@ class Masked:
                     taken.append((a, b))
         out, at = [], 0
         for i, (a, b) in enumerate(sorted(taken)):
-            mark = chr(PRIVATE + i) if i < 6000 else text[a:b]
+            mark = private(i)
             self.kept[mark] = text[a:b]
             out += [text[at:a], mark]
             at = b
         self.text = "".join(out) + text[at:]
 
     def restored(self, text: str) -> str:
-        return re.sub("[-]", lambda m: self.kept.get(m[0], m[0]), text)
+        def own(m: re.Match) -> str:
+            return self.kept[m[0]] if m[0] in self.kept else "".join(self.kept.get(c, c) for c in m[0])
+
+        return re.sub("[\U00100000-\U0010fffd]?[\ue000-\uf8ff\U000f0000-\U000ffffd]", own, text)
 
 
 def lifted(text: str) -> str:

@@ -147,3 +147,12 @@ def test_guided_rewrite_follows_the_families(spark):
     scores = spark.range(1, 3).selectExpr("id AS doc_id", *zeros)
     got = {r["doc_id"]: r for r in rewrite.rewritten_guided(df, scores, signals.scored_segments(segments.sentences(df))).collect()}
     assert got[1]["applied"] and got[1]["text"].startswith("Teams often leverage many tools in 2020.") and not got[2]["applied"]
+
+
+def test_masks_do_not_run_out():
+    text = " ".join(f"{i}" for i in range(10_000, 16_500))
+    masked = edits.Masked(text, [])
+    assert not any(c.isdigit() for c in masked.text) and masked.restored(masked.text) == text
+    marks = [edits.private(i) for i in (0, 6399, 6400, 6400 + edits.PLANE - 1, 6400 + edits.PLANE, 200_000)]
+    masked.kept = {m: f"<{i}>" for i, m in enumerate(marks)}
+    assert masked.restored("".join(marks)) == "<0><1><2><3><4><5>"
