@@ -55,8 +55,8 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secrets.trained(secrets.labelled_samples(spark))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secrets.corpus_model(docs, table(spark, sf_dir, "labels"))
     return secrets.span_report(secrets.scanned_secrets(docs, model))
 
 

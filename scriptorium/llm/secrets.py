@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.columns import code_points, match_starts, scanned, whole
+from scriptorium.llm.quality import training_rows
 
 #: The base patterns.  Of the first, group 2 must have ASSIGNED characters or more.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -74,6 +75,22 @@ def labelled_samples(spark: SparkSession, rows: int = 6000) -> DataFrame:
     )
 
 
+def ordinary_words(docs: DataFrame, labels: DataFrame, most: int = 2000, most_words: int = 3000) -> DataFrame:
+    """text, secret (0): distinct words of letters, of at most `most` documents that labels.quality calls good; the documents and the words by a hash.
+
+    They teach the identifier model the language of the corpus.  Words of twenty letters or more
+    are left out, as they may be keys.  Without good documents there are none.
+    """
+    good = training_rows(docs, labels.where("quality = 1"), "quality", most)
+    words = good.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("text")).where(F.length("text").between(3, LEAST - 1))
+    return words.distinct().orderBy(F.xxhash64("text"), "text").limit(most_words).select("text", F.lit(0).alias("secret"))
+
+
+def corpus_model(docs: DataFrame, labels: DataFrame) -> list[float]:
+    """Trained on samples made by rule and on ordinary words of labelled documents of the corpus."""
+    return trained(labelled_samples(docs.sparkSession).unionByName(ordinary_words(docs, labels)))
+
+
 def trained(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     """log P(next | character, random) - log P(next | character, identifier) for all pairs of the alphabet, row by row.
 
@@ -97,16 +114,15 @@ def trained(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
 
 
 def log_ratio(token: Column, model: list[float]) -> Column:
-    """The sum of the model over the characters of a token, from the start mark on."""
+    """The sum of the model over the characters of a token, from the start mark on; the token is split once, so it costs its length."""
     table = F.split(F.lit(",".join(f"{x:.5f}" for x in model)), ",").cast("array<double>")  # folded once
-    n = len(ALPHABET)
+    places = F.transform(F.split(token, ""), lambda c: F.greatest(F.lit(1), F.call_function("instr", F.lit(ALPHABET), c)))
     state = F.struct(F.lit(1).alias("before"), F.lit(0.0).alias("sum"))
 
-    def step(acc: Column, i: Column) -> Column:
-        at = F.greatest(F.lit(1), F.call_function("instr", F.lit(ALPHABET), F.substring(token, i, F.lit(1))))
-        return F.struct(at.alias("before"), (acc["sum"] + F.element_at(table, (acc["before"] - 1) * n + at)).alias("sum"))
+    def step(acc: Column, at: Column) -> Column:
+        return F.struct(at.alias("before"), (acc["sum"] + F.element_at(table, (acc["before"] - 1) * len(ALPHABET) + at)).alias("sum"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(token)), state, step, lambda acc: acc["sum"])
+    return F.aggregate(places, state, step, lambda acc: acc["sum"])
 
 
 def likely_spans(token: Column, model: list[float], threshold: float) -> Column:

@@ -23,7 +23,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in their texts."""
-    return secrets.without_secrets(docs, secrets.trained(secrets.labelled_samples(spark)))
+    return secrets.without_secrets(docs, secrets.corpus_model(docs, table(spark, sf_dir, "labels")))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

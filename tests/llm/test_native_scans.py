@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -108,6 +109,75 @@ def test_keys_joined_to_ordinary_text(spark):
     assert [masked[len(texts) + i] for i in range(len(plain))] == plain
 
 
+def ratio(token, model):
+    at, out = 0, 0.0
+    for c in token:
+        here = max(0, secrets.ALPHABET.find(c))
+        out, at = out + float(f"{model[at * len(secrets.ALPHABET) + here]:.5f}"), here
+    return out
+
+
+def stretches(token, model, threshold=0.35):
+    """Spans of a token by a running sum over its parts, told apart from the operator's fold."""
+    if ratio(token, model) >= threshold * len(token):
+        return [(0, len(token))]
+    found, total, best, start, end = [], 0.0, 0.0, 0, 0
+    for m in re.finditer(secrets.PARTS, token):
+        if total <= 0:
+            if best > 0 and end - start >= secrets.LEAST:
+                found.append((start, end))
+            total, best, start, end = 0.0, 0.0, m.start(), m.start()
+        total += (0.0 if re.fullmatch(secrets.JOINTS, m[0]) else ratio(m[0], model)) - threshold * len(m[0])
+        if total > best:
+            best, end = total, m.end()
+    if best > 0 and end - start >= secrets.LEAST:
+        found.append((start, end))
+    return found
+
+
+def test_markov_spans_against_python(spark, rows, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = secrets.corpus_model(docs, labels)
+    r = random.Random(8)
+    made = ["".join(r.choice([*secrets.WORDS, "/", "_", "=", "-", "".join(r.choice(secrets.ALPHABET[1:63]) for _ in range(r.randint(5, 30)))]) for _ in range(r.randint(3, 25))) for _ in range(300)]
+    texts = [x[1] or "" for x in rows] + made
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hits = 0
+    for x in secrets.scanned_secrets(df, model).collect():
+        want = [(m.start() + a, m.start() + b) for m in re.finditer(secrets.TOKEN, texts[x["doc_id"]]) for a, b in stretches(m[0], model)]
+        assert [(s["start"], s["end"]) for s in x["spans"] if s["kind"] == 3] == want
+        hits += len(want)
+    assert hits > 100
+
+
+def test_a_token_of_a_megabyte(spark):
+    model = secrets.trained(secrets.labelled_samples(spark))
+    r = random.Random(9)
+    blob = "".join(r.choices(secrets.ALPHABET[1:], k=1_000_000))
+    df = spark.createDataFrame([(1, "x " + blob), (2, "path/" * 200_000)], "doc_id long, text string")
+    start = time.time()
+    got = {x["doc_id"]: x["spans"] for x in secrets.span_report(secrets.scanned_secrets(df, model)).collect()}
+    assert got[1].endswith("markov:2:1000002") and got[2] == "" and time.time() - start < 30
+
+
+def test_recall_and_precision_in_the_corpus(spark, sf):
+    """Keys planted into documents are found; of the documents' own tokens next to none are."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = secrets.corpus_model(docs, labels)
+    r, sets = random.Random(10), (secrets.ALPHABET[1:63], secrets.ALPHABET[1:53], secrets.ALPHABET[27:53])
+    texts, keys = [], {}
+    for i, x in enumerate(docs.orderBy("doc_id").collect()):
+        words = (x["text"] or "").split(" ")
+        keys[i] = "".join(r.choice(sets[i % 3]) for _ in range(20 + i % 30))
+        words.insert(r.randint(0, len(words)), keys[i])
+        texts.append((i, " ".join(words)))
+    found = secrets.scanned_secrets(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    marked = {x["doc_id"]: [texts[x["doc_id"]][1][s["start"] : s["end"]] for s in x["spans"] if s["kind"] == 3] for x in found}
+    assert sum(any(keys[i] in t for t in marked[i]) for i in keys) >= 0.97 * len(keys)
+    own = [t for i in keys for t in marked[i] if keys[i] not in t and not base_spans(t)]
+    assert len(own) <= 0.03 * len(keys), own
+
+
 def test_licenses_against_python(spark, rows):
     found = licenses.license_labels(spark, spark.createDataFrame(rows, DOCS)).collect()
     assert len(found) == len(rows)
