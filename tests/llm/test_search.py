@@ -63,6 +63,38 @@ def test_top_k(spark, block):
     assert sorted(map(tuple, got.where("size(array(query_id)) = 1").collect()), key=repr) == sorted(want, key=repr)
 
 
+def brute_top_k(rows, every, k):
+    want = []
+    for q, qv in rows:
+        if q is not None and q % every == 0:
+            order = sorted(((-int(qv @ v), i is None, i or 0, i) for i, v in rows if i != q), key=lambda x: x[:3])
+            want += [(q, r + 1, x[3], -x[0]) for r, x in enumerate(order[:k])]
+    return sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("lists", [1, 2, 5])
+def test_top_k_under_ties(spark, lists):
+    """A third of all rows hold one vector, ids repeat, and scores tie in long runs."""
+    rng = np.random.default_rng(5)
+    common = [0.5, -0.25, 0.125, 0.75, 0.0, 1.0]
+    rows = [(i, common if i % 3 == 0 else [float(x) / 4 for x in rng.integers(-2, 3, 6)]) for i in range(500)]
+    rows += [(40, common)] * 15 + [(None, common)] * 3 + [(60, [0.0] * 6)] * 12
+    df = spark.createDataFrame([(i, v, None, None) for i, v in rows], VECTORS)
+    found = topk.phases(df, 20, 10, 1024, lists, 7, 90)
+    codes = [(i, np.floor(1024 * np.array(v)).astype(np.int64)) for i, v in rows]
+    assert sorted(map(tuple, found.ranked.collect()), key=repr) == brute_top_k(codes, 20, 10)
+
+
+def test_few_scores_are_resolved(spark):
+    """On the table the cutoff leaves few entries, and fewer full scores to resolve."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found = topk.phases(df, 100, 10, 1024, 2, 1024, 512)
+    rows = [(r["vec_id"], np.floor(1024 * np.array(r["embedding"])).astype(np.int64)) for r in df.collect()]
+    pairs = len(rows) * sum(i % 100 == 0 for i, _ in rows)
+    assert sorted(map(tuple, found.ranked.collect()), key=repr) == brute_top_k(rows, 100, 10)
+    assert found.entries.count() < 0.2 * pairs and found.opened.count() < 0.1 * pairs
+
+
 def test_few_candidates_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1, ""), (3, [0.5, 0.5], 1, ""), (5, [-1.0, 0.0], 1, "")], VECTORS)
     assert [tuple(r) for r in topk.top_k(df, 100, 10).orderBy("rank").collect()] == [(0, 1, 3, 524288), (0, 2, 5, -1048576)]
