@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -18,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where that is unset, one of our own on a single machine, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -47,15 +50,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/scriptorium-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def dropped(df: DataFrame) -> None:
-    """Delete the files behind a `written` table that nothing reads any more."""
-    files = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for spark, path in [x for x in _written if any(f.endswith(x[1].split(":", 1)[-1].lstrip("/")) for f in files)]:
-        _delete(spark, path)
-        _written.remove((spark, path))
+    """Delete the files of a `written` table that nothing reads any more."""
+    entry = df.sparkSession, df.written_to
+    _delete(*entry)
+    _written.remove(entry)
+
+
+def small_enough(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """A `written` table, to be broadcast if its rows, as Spark holds them, have at most `most` bytes; else as it is."""
+    row = sum(8 if f.dataType.typeName() in ("long", "integer", "double", "boolean") else 32 for f in df.schema.fields) + 16
+    return F.broadcast(df) if df.count() * row <= most else df
 
 
 def over_groups(

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import written
+from scriptorium.llm.common import dropped, written
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -22,33 +22,46 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _with_least(pairs: DataFrame, n: int) -> DataFrame:
+    """pairs(u, v) with m, the smallest v of the u.
+
+    What a node's neighbours have in common is joined in two ways, so that no hub fills a task: nodes of more than a
+    thousandth of all n pairs, of which there are at most a thousand, are broadcast; the others are shuffled.
+    """
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    most = max(1000, n // 500)  # of up to 2 n pairs
+    hubs = F.broadcast(least.where(F.col("degree") > most).select("u", "m"))
+    others = pairs.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("degree") <= most).select("u", "m"), "u")
+    return pairs.join(hubs, "u").unionByName(others)
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(u, v), of any type that orders -> node, component: the smallest node reachable, for every node of a link.
 
     Each round ties all neighbours of a node to the smallest of them, first the larger
     ones, then the smaller ones, until every node hangs on the root of its tree.
     Links from a node to itself and repeated links do no harm; without links there are no rows.
+    The edges of a round are deleted once those of the next are written.
     """
 
     def digest(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
 
-    def large(e: DataFrame) -> DataFrame:
+    def large(e: DataFrame, n: int) -> DataFrame:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        return _with_least(both, n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
-    def small(e: DataFrame) -> DataFrame:
+    def small(e: DataFrame, n: int) -> DataFrame:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        tied = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return tied.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+        return _with_least(down, n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
 
-    edges = written(small(links.select("u", "v")), "edges")
+    edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     before = digest(edges)
     while before[0]:
-        edges = written(small(large(edges)), "edges")
-        now = digest(edges)
+        new = written(small(large(edges, before[0]), before[0]), "edges")
+        now = digest(new)
+        dropped(edges)
+        edges = new
         if now == before:
             break
         before = now

@@ -95,6 +95,20 @@ def test_few_scores_are_resolved(spark):
     assert found.entries.count() < 0.2 * pairs and found.opened.count() < 0.1 * pairs
 
 
+def test_dedup_of_a_common_vector(spark):
+    """Near copies around the threshold and a vector that a third of the rows hold, in small tiles."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=24)
+    rows = [(i, base if i % 3 == 0 else base + rng.normal(scale=0.1 + 0.004 * (i % 100), size=24), 1) for i in range(700)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], n, None) for i, v, n in rows], "vec_id long, embedding array<double>, label int, rid string")
+    v = np.stack([x[1] for x in rows])
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.98, 1))
+    root, n = graph.local_roots(len(rows), i, j), np.bincount(np.concatenate([i, j]), minlength=len(rows))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, 0.98, 64).collect()}
+    assert got == {k: (int(n[k]), int(root[k])) for k in range(len(rows))} and 0 < np.sum(n == 0) < 600
+
+
 def test_few_candidates_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1, ""), (3, [0.5, 0.5], 1, ""), (5, [-1.0, 0.0], 1, "")], VECTORS)
     assert [tuple(r) for r in topk.top_k(df, 100, 10).orderBy("rank").collect()] == [(0, 1, 3, 524288), (0, 2, 5, -1048576)]
@@ -156,6 +170,13 @@ def test_depth_reaches_the_recall():
     assert 1 - (1 - 0.8**d) ** jaccard.TREES >= 0.99999 > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Hubs with thousands of neighbours, on both ends of the order."""
+    edges = [(0, i) for i in range(1, 3000)] + [(9000, i) for i in range(3000, 6000)] + [(7000, 7001), (7001, 2999)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in (*range(3000), 7000, 7001)} | {i: 3000 for i in (*range(3000, 6000), 9000)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
