@@ -1,18 +1,19 @@
-"""N-gram Jaccard join: MinHash LSH with exact verification.
+"""N-gram Jaccard join: a MinHash LSH forest with exact verification.
 
 A document is the set of its runs of five words (letters, digits and underscores,
 in lower case); one with one to four words has the one run of them all, and one
 without words that is not empty has itself.  Texts of equal sets are one class, and
 only one of each class goes on.
 
-Fixed banding stands in for an LSH forest: in each of a number of trees, two classes
-are candidates if the same minimum hashes make up their prefix.  The depth of the
-prefix is one for the table: the greatest, from the full one down, at which a pair
-right at the threshold is found with the target recall.  A hash of the prefix finds
-what sorted tries cut at that depth would.
+Each of a number of trees has eight minimum hashes of a class; sorted, they are a prefix trie,
+and a class matches its neighbours in the sorting as far as their longest common
+prefix reaches.  Classes that share all eight are candidates first.  Then matched prefixes
+are shortened, one hash at a time, each only if the run of classes that it then leads
+to is not connected yet, and down to the depth at which a pair right at the
+threshold is found with the target recall.
 
 Candidates whose signatures agree far too seldom for the threshold are let go; the
-rest are verified exactly.  They are not listed in pairs: a bucket hands on a tree
+rest are verified exactly.  They are not listed in pairs: a run hands on a tree
 of links, the classes it connects are brought together once with their sets, in
 tiles of bounded size, and every pair among them is counted there.
 """
@@ -21,34 +22,32 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.columns import row_keys
-from scriptorium.llm.common import over_groups, written
+from scriptorium.llm.common import over_groups, small_enough, written
 from scriptorium.llm.graph import components, local_roots
 from scriptorium.llm.vectext import Hashed, mixed, portions, word_characters
 from scriptorium.llm.vectors import LAST
 
 WORDS = 5
+#: Minimum hashes of a tree are kept in 16 bits each, four to a long.
 TREES, DEPTH = 24, 8
-#: Signatures may agree this much less often than the threshold says (over five standard deviations).
-MARGIN = 0.22
-#: Members of a bucket, and classes with their sets, that meet in a task: at most two tiles.
-BUCKET_TILE, SET_TILE = 1024, 512
-#: Up to so many grouped classes (of some 100 bytes) go to all executors, to pick their texts without a shuffle of all texts.
-FEW = 500_000
+#: Signatures may agree this much less often than the threshold says (over five standard deviations of all 192 hashes).
+MARGIN = 0.16
+#: Members of a run, and classes and their shingles, that meet in a task: at most two tiles.
+BUCKET_TILE, SET_TILE, SHINGLE_TILE = 1024, 512, 400_000
 
 
-def shortened(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix, from the full depth down, at which `trees` tries find a pair at the threshold with `recall`."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def shortest(threshold: float, recall: float, trees: int = TREES) -> int:
+    """The depth, from the full one down, at which `trees` tries find a pair at the threshold with `recall`."""
+    return next((d for d in range(DEPTH, 1, -1) if 1 - (1 - threshold**d) ** trees >= recall), 1)
 
 
 def shingle_sets(texts: list[str], size: int = WORDS) -> list[np.ndarray]:
@@ -80,38 +79,36 @@ def shingle_sets(texts: list[str], size: int = WORDS) -> list[np.ndarray]:
 
 def signature(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     """The minimum of the set under each of the hash functions; the set must not be empty."""
-    least = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):  # long texts in bounded memory
-        h = hashes[at : at + 4096, None] * multipliers[None, :]
-        least = np.minimum(least, (h ^ (h >> np.uint64(29))).min(axis=0))
+    least = np.full(len(multipliers), np.iinfo(np.uint32).max, np.uint32)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), 1024):  # long texts in bounded memory
+        least = np.minimum(least, (high[at : at + 1024, None] * multipliers[None, :]).min(axis=0))
     return least
 
 
 def multipliers(n: int) -> np.ndarray:
-    return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+    return (mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def classes_of(docs: DataFrame, depth: int, trees: int = TREES, size: int = WORDS) -> DataFrame:
-    """k1, k2 (of the row), ord (its id, null last), c1, c2 (of its set; null if empty), n, prefixes (one per tree), bytes (a byte of each minimum)."""
-    schema = "k1 long, k2 long, ord long, c1 long, c2 long, n int, prefixes array<long>, bytes binary"
+def classes_of(docs: DataFrame, trees: int = TREES, size: int = WORDS) -> DataFrame:
+    """k1, k2 (of the row), ord (its id, null last), c1, c2 (of its set; null if empty), n, hi, lo (of each tree's hashes the first and the last four), bytes (a byte of each hash)."""
+    schema = "k1 long, k2 long, ord long, c1 long, c2 long, n int, hi array<long>, lo array<long>, bytes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        functions = multipliers(trees * depth)
-        tree = np.arange(trees, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        functions = multipliers(trees * DEPTH)
+        places = np.array([48, 32, 16, 0], np.uint64)
         for batch in batches:
             rows: list[tuple] = []
             for s in shingle_sets([x.as_py() or "" for x in batch.column("text")], size):
                 if not len(s):
-                    rows.append((None, None, 0, None, None))
+                    rows.append((None, None, 0, None, None, None))
                     continue
-                least = signature(s, functions)
-                prefix = tree.copy()
-                for k in range(depth):
-                    prefix = mixed(prefix * np.uint64(31) + least[k::depth])
+                least = mixed(signature(s, functions).astype(np.uint64))
+                packed = ((least >> np.uint64(48)).reshape(trees, 2, 4) << places).sum(axis=2).view(np.int64)
                 c = np.array([mixed(s + np.uint64(1)).sum(), mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()]).view(np.int64)
-                rows.append((int(c[0]), int(c[1]), len(s), prefix.view(np.int64), (mixed(least) >> np.uint64(56)).astype(np.uint8).tobytes()))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+                rows.append((int(c[0]), int(c[1]), len(s), packed[:, 0], packed[:, 1], (least >> np.uint64(56)).astype(np.uint8).tobytes()))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             made = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)] + made, [f.split()[0] for f in schema.split(", ")])
 
@@ -119,16 +116,64 @@ def classes_of(docs: DataFrame, depth: int, trees: int = TREES, size: int = WORD
     return docs.select(*row_keys(), ord_, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def bucket_links(reps: DataFrame, least_share: float) -> DataFrame:
-    """u, v: for each shared prefix, a tree of links that connects just what pairs of likely enough signatures connect."""
-    spread = reps.select("ord", "c1", F.explode("prefixes").alias("bucket"))
-    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = written(spread.join(sizes, "bucket").select("bucket", "ord", "c1", F.ceil(F.col("size") / BUCKET_TILE).cast("int").alias("tiles")), "shared")
+def common_prefix(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """How many hashes, from the first on, each row shares with the next one."""
+
+    def leading(x: np.ndarray) -> np.ndarray:
+        return sum((x < np.uint64(1 << b)).astype(np.int32) for b in (48, 32, 16, 0))
+
+    first = leading((hi[1:] ^ hi[:-1]).view(np.uint64))
+    return np.where(first == 4, 4 + leading((lo[1:] ^ lo[:-1]).view(np.uint64)), first)
+
+
+def tries(reps: DataFrame, floor: int) -> DataFrame:
+    """tree, hi, lo, ord, c1, deep: the sorted tries, without classes whose longest match is below `floor`.
+
+    deep: the longest common prefix with a neighbour.  The tries are sorted by ranges, so a prefix that many
+    classes share is spread over tasks; a neighbour beyond the end of a range counts as a full match,
+    which makes a row stay that may have none.
+    """
+    names = ["tree", "hi", "lo", "ord", "c1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[np.ndarray] | None = None
+        before = DEPTH
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(n).to_numpy() for n in names]
+            if last is not None:
+                rows = [np.concatenate(x) for x in zip(last, rows, strict=True)]
+            shared = np.where(rows[0][1:] == rows[0][:-1], common_prefix(rows[1], rows[2]), 0)
+            prefixes = np.concatenate([[before], shared])
+            deep = np.maximum(prefixes[:-1], shared)
+            at = deep >= floor
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:-1][at]) for x in rows), pa.array(deep[at].astype(np.int32))], [*names, "deep"])
+            last, before = [x[-1:] for x in rows], prefixes[-1]
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, last), pa.array(np.array([DEPTH], np.int32))], [*names, "deep"])
+
+    spread = reps.select(F.posexplode(F.arrays_zip("hi", "lo")).alias("tree", "x"), "ord", "c1").select("tree", "x.hi", "x.lo", "ord", "c1")
+    return spread.repartitionByRange(*names).sortWithinPartitions(*names).mapInArrow(run, "tree int, hi long, lo long, ord long, c1 long, deep int")
+
+
+def prefix(depth: int) -> list[F.Column]:
+    """The first `depth` hashes of a tree, as two longs."""
+    hi = F.shiftrightunsigned("hi", 16 * (4 - depth)) if depth < 4 else F.col("hi")
+    lo = F.shiftrightunsigned("lo", 16 * (DEPTH - depth)) if depth > 4 else F.lit(0).cast("long")
+    return [hi.alias("p1"), lo.alias("p2")]
+
+
+def run_links(members: DataFrame, reps: DataFrame, least_share: float) -> DataFrame:
+    """u, v: for each run of classes, a tree of links that connects just what pairs of likely enough signatures connect.
+
+    members(tree, p1, p2, tiles, ord, c1): a run has tree, p1 and p2 in common, and is dealt into `tiles`.
+    """
     dealt = (
-        shared.join(reps.select("ord", "c1", "bytes"), ["ord", "c1"])
+        members.join(reps.select("ord", "c1", "bytes"), ["ord", "c1"])
         .withColumn("own", F.pmod(F.xxhash64("ord", "c1"), F.col("tiles")).cast("int"))
         .withColumn("met", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("bucket", F.least("own", "met").alias("a"), F.greatest("own", "met").alias("b"), "ord", "c1", "bytes")
+        .select("tree", "p1", "p2", F.least("own", "met").alias("a"), F.greatest("own", "met").alias("b"), "ord", "c1", "bytes")
     )
     # equal bytes are equal minima but for one in 256
     enough = least_share + (1 - least_share) / 256
@@ -155,11 +200,36 @@ def bucket_links(reps: DataFrame, least_share: float) -> DataFrame:
         o, c = g["ord"].to_numpy(), g["c1"].to_numpy()
         return pd.DataFrame({"u_ord": o[i], "u_c1": c[i], "v_ord": o[j], "v_c1": c[j]})
 
-    tied = over_groups(dealt, ["bucket", "a", "b"], [], tie, "u_ord long, u_c1 long, v_ord long, v_c1 long")
+    tied = over_groups(dealt, ["tree", "p1", "p2", "a", "b"], [], tie, "u_ord long, u_c1 long, v_ord long, v_c1 long")
     u = F.struct(F.col("u_ord").alias("ord"), F.col("u_c1").alias("c1")).alias("u")
     return tied.select(u, F.struct(F.col("v_ord").alias("ord"), F.col("v_c1").alias("c1")).alias("v")).distinct()
 
 
+def candidates(reps: DataFrame, threshold: float, recall: float, trees: int = TREES) -> DataFrame:
+    """node, component: of the classes, those that candidate pairs connect, by the smallest of each component.
+
+    Goes through the depths of the forest, from the full one down.  A run of classes that share a prefix is
+    looked at only if it holds classes of more than one component so far: what it would add otherwise is verified anyway.
+    """
+    floor = shortest(threshold, recall, trees)
+    forest = written(tries(reps, floor), "tries")
+    found = None
+    for depth in range(DEPTH, floor - 1, -1):
+        matched = forest.where(F.col("deep") >= depth).select("tree", *prefix(depth), "ord", "c1")
+        label = F.xxhash64("ord", "c1")
+        if found is not None:
+            known = found.select(F.col("node.ord").alias("ord"), F.col("node.c1").alias("c1"), F.xxhash64("component.ord", "component.c1").alias("known"))
+            matched, label = matched.join(known, ["ord", "c1"], "left"), F.coalesce("known", label)
+        matched = matched.withColumn("label", label)
+        runs = matched.groupBy("tree", "p1", "p2").agg(F.ceil(F.count(F.lit(1)) / BUCKET_TILE).cast("int").alias("tiles"), F.min("label").alias("x"), F.max("label").alias("y"))
+        members = matched.join(runs.where("x <> y").select("tree", "p1", "p2", "tiles"), ["tree", "p1", "p2"])
+        links = written(run_links(members.select("tree", "p1", "p2", "tiles", "ord", "c1"), reps, threshold - MARGIN), f"links-{depth}")
+        if found is None or not links.isEmpty():
+            before = [] if found is None else [found.select(F.col("node").alias("u"), F.col("component").alias("v"))]
+            found = written(components(reduce(DataFrame.unionByName, before, links)), f"found-{depth}")
+    return found
+
+
 def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How many hashes each of left shares with each of right."""
     every = np.concatenate(sets)
@@ -189,10 +259,11 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 def verified(docs: DataFrame, groups: DataFrame, threshold: float, size: int = WORDS) -> DataFrame:
     """ord, c1, n, r_ord, r_c1: for a class and a tile, the weight of the classes it links with there, and the smallest class reached.
 
-    groups: k1, k2 (of a row of the class), ord, c1, weight, group.  Each group's classes meet in tiles.
+    groups: k1, k2 (of a row of the class), ord, c1, n (shingles), weight, group.  Each group's classes meet in tiles.
     """
-    sized = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / SET_TILE).cast("int").alias("tiles")).where("tiles > 0")
-    wanted = F.broadcast(groups) if groups.count() <= FEW else groups
+    fill = F.greatest(F.count(F.lit(1)) / SET_TILE, F.sum(F.col("n").cast("long")) / SHINGLE_TILE)
+    sized = groups.groupBy("group").agg(F.ceil(fill).cast("int").alias("tiles"))
+    wanted = small_enough(groups.select("k1", "k2", "ord", "c1", "weight", "group"))
     texts = docs.select(*row_keys(), F.col("text").cast("string").alias("text")).join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +309,7 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float, size: int = W
     return over_groups(dealt, ["g_ord", "g_c1", "a", "b"], [], meet, "ord long, c1 long, n long, r_ord long, r_c1 long")
 
 
-def near_copies(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999, size: int = WORDS, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+def near_copies(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999, size: int = WORDS, trees: int = TREES) -> DataFrame:
     """k1, k2, ord, c1, c2, weight, n_links, first: every row of docs(doc_id, text) with the links of its class.
 
     k1 and k2 are `row_keys` of the row.  weight: rows of the class; n_links: other rows whose
@@ -247,15 +318,14 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999
     those of the same text; null and empty texts link with nothing.  Repeated rows are rows of their own.
     """
     docs = docs.select("doc_id", "text")
-    rows = written(classes_of(docs, shortened(threshold, recall, trees, depth), trees, size), "rows")
+    rows = written(classes_of(docs, trees, size), "rows")
     whole = rows.where("c1 IS NOT NULL")
-    reps = whole.groupBy("c1", "c2").agg(
-        F.min(F.struct("ord", "k1", "k2")).alias("row"), F.count(F.lit(1)).alias("weight"), F.first("prefixes").alias("prefixes"), F.first("bytes").alias("bytes")
-    )
-    reps = written(reps.select("c1", "c2", "row", F.col("row.ord").alias("ord"), "weight", "prefixes", "bytes"), "classes")
-    near = components(written(bucket_links(reps, threshold - MARGIN), "candidates"))
+    first = [F.first(c).alias(c) for c in ("n", "hi", "lo", "bytes")]
+    reps = whole.groupBy("c1", "c2").agg(F.min(F.struct("ord", "k1", "k2")).alias("row"), F.count(F.lit(1)).alias("weight"), *first)
+    reps = written(reps.select("c1", "c2", "row", F.col("row.ord").alias("ord"), "weight", "n", "hi", "lo", "bytes"), "classes")
+    near = candidates(reps, threshold, recall, trees)
     groups = near.select(F.col("node.ord").alias("ord"), F.col("node.c1").alias("c1"), F.col("component").alias("group")).join(
-        reps.select("ord", "c1", "weight", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2")), ["ord", "c1"]
+        reps.select("ord", "c1", "n", "weight", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2")), ["ord", "c1"]
     )
     met = written(verified(docs, written(groups, "groups"), threshold, size), "links")
     counts = met.groupBy("ord", "c1").agg(F.sum("n").alias("n"))
@@ -293,9 +363,15 @@ def joined(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """`docs` with one row of each class of near copies, the first by id; of repeated rows one stays."""
+    """`docs` with one row of each class of near copies, the first by id; of rows of one id and text the first by all columns stays.
+
+    What goes, or stands there more than once, is told by keys; texts are shuffled only if those are too many to broadcast.
+    """
+    found = near_copies(docs, threshold)
     lost = (F.col("first.k1") != F.col("k1")) | (F.col("first.k2") != F.col("k2"))
-    dropped = near_copies(docs, threshold).where(lost).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
-    k1, k2 = row_keys()
-    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
-    return keyed.join(dropped, ["__k1", "__k2"], "left_anti").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+    marks = found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max(lost).alias("lost"))
+    marks = written(marks.where("lost OR n > 1").select("k1", "k2", "lost"), "marks")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *row_keys()).join(small_enough(marks), ["k1", "k2"], "left")
+    place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.to_json("row")))
+    again = keyed.where("NOT lost").withColumn("place", place).where("place = 1")
+    return keyed.where("lost IS NULL").select("row.*").unionByName(again.select("row.*"))

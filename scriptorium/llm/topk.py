@@ -1,7 +1,7 @@
 """Exact top-k search by a uniform threshold in three phases.
 
 The components of the vectors are split into m lists that are stored and read apart,
-so a list knows only partial scores.  First, every list hands in its k best
+so a list knows only partial scores.  First, every block of a list hands in its k best
 partial scores of a query; the full scores of just those candidates are resolved, and the
 k-th best is a safe cutoff.  With the cutoff sent back, a candidate can reach it only if
 one of its partial scores reaches an m-th of it, so each list hands in the entries
@@ -30,6 +30,8 @@ from scriptorium.llm.vectors import LAST, numbered, usable
 
 KEYS = ["dim", "list", "qb", "cb"]
 PAIR = ["q_rid", "q_ord", "c_rid", "c_ord"]
+#: So many times k of what the blocks of a list hand in are resolved for the first cutoff.
+DEEPER = 16
 FOUND = "q_rid long, q_ord long, c_rid long, c_ord long, list int, part long"
 #: Queries whose partial scores are in memory at once, against a block of candidates.
 CHUNK = 256
@@ -145,7 +147,7 @@ def phases(embeddings: DataFrame, every: int, k: int, scale: int, lists: int, q_
     by_score = Window.partitionBy("q_rid").orderBy(F.desc("score"), "c_ord", "c_rid")
     of_list = Window.partitionBy("q_rid", "list").orderBy(F.desc("part"), "c_ord", "c_rid")
     asks = _lists(queries, lists).select("*", block(q_blocks, "qb"))
-    local = _meet(asks, held, c_blocks, q_blocks, best).withColumn("place", F.row_number().over(of_list)).where(F.col("place") <= k)
+    local = _meet(asks, held, c_blocks, q_blocks, best).withColumn("place", F.row_number().over(of_list)).where(F.col("place") <= DEEPER * k)
     first = _resolved(local.select(*PAIR).distinct(), queries, candidates)
     cutoffs = first.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select(F.col("q_rid").alias("rid"), F.col("score").alias("cutoff"))
     lowest = F.lit(-(1 << 62)).cast("long")  # of queries with fewer than k candidates

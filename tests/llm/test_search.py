@@ -166,8 +166,66 @@ def test_jaccard_empty(spark):
 
 
 def test_depth_reaches_the_recall():
-    d = jaccard.shortened(0.8, 0.99999)
+    d = jaccard.shortest(0.8, 0.99999)
     assert 1 - (1 - 0.8**d) ** jaccard.TREES >= 0.99999 > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
+    assert jaccard.shortest(0.99, 0.99) == jaccard.DEPTH and jaccard.shortest(0.1, 0.999999) == 1
+
+
+def test_signatures_estimate_the_similarity():
+    rng = np.random.default_rng(1)
+    f = jaccard.multipliers(192)
+    shares = []
+    for i in range(400):
+        n = int(rng.integers(5, 400))
+        h = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        a, b = h[: n + n // 2], h[n // 2 :]
+        shares.append((jaccard.signature(a, f) == jaccard.signature(b, f)).mean() - (len(a) + len(b) - len(h)) / len(h))
+    assert abs(np.mean(shares)) < 0.01 and np.std(shares) < 0.045
+
+
+def test_tries_are_sorted_and_matched(spark):
+    """Longest matches with neighbours, against all pairs, over several ranges."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        codes = rng.integers(0, 2, (2, 8))
+        packed = [[int(sum(int(x) << (48 - 16 * k) for k, x in enumerate(half))) for half in (c[:4], c[4:])] for c in codes]
+        rows.append((i, i * 7, [p[0] for p in packed], [p[1] for p in packed], codes))
+    df = spark.createDataFrame([r[:4] for r in rows], "ord long, c1 long, hi array<long>, lo array<long>")
+    got = {(r["tree"], r["ord"]): r["deep"] for r in jaccard.tries(df, 1).collect()}
+    short = 0
+    for t in range(2):
+        for a in rows:
+            best = max(next((k for k in range(8) if a[4][t][k] != b[4][t][k]), 8) for b in rows if b is not a)
+            deep = got.get((t, a[0]), 0)
+            assert deep == best or deep == 8  # 8: at the end of a range
+            short += deep != best
+    assert short <= 16
+
+
+def test_recall_on_the_table(spark):
+    """All pairs of the table that share a shingle, counted; the join loses next to none."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: r[0])
+    sets, at, shared = [shingles(t) for _, t in rows], defaultdict(list), defaultdict(int)
+    for i, s in enumerate(sets):
+        for x in s:
+            at[x].append(i)
+    for v in at.values():
+        for p, i in enumerate(v):
+            for j in v[:p]:
+                shared[j, i] += 1
+    links = [(i, j) for (i, j), n in shared.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9]
+    want = sum(map(len, (links, links)))
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in jaccard.joined(docs).collect()}
+    assert 0.99 * want <= sum(n for n, _ in got.values()) <= want and want > 100
+    root = roots(len(rows), links)
+    assert sum(got[r[0]][1] == rows[root[i]][0] for i, r in enumerate(rows)) >= 0.99 * len(rows)
+
+
+def test_repeated_rows_keep_their_order(spark):
+    df = spark.createDataFrame([(1, "one two", "b"), (1, "one two", "a"), (2, "three", None), (2, "three", None), (3, "one two", "0")], "doc_id long, text string, __place string")
+    assert sorted(map(tuple, jaccard.distinct_documents(df).collect())) == [(1, "one two", "a"), (2, "three", None)]
 
 
 def test_components_with_hubs(spark, monkeypatch):
