@@ -47,7 +47,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_labels(spark, table(spark, sf_dir, "documents"), threshold=0.8)
+    return licenses.license_labels(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

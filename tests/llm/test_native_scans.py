@@ -179,7 +179,7 @@ def test_recall_and_precision_in_the_corpus(spark, sf):
 
 
 def test_licenses_against_python(spark, rows):
-    found = licenses.license_labels(spark, spark.createDataFrame(rows, DOCS)).collect()
+    found = licenses.license_labels(spark.createDataFrame(rows, DOCS)).collect()
     assert len(found) == len(rows)
     texts = {r[0]: r[1] or "" for r in rows}
     for r in found:
@@ -189,10 +189,10 @@ def test_licenses_against_python(spark, rows):
         base = sorted({x for _, x in hits})
         assert r["base_labels"] == ",".join(base)
         best, more = 1.0 if hits else 0.0, set(base)
-        for start in range(0, max(len(words) - 32, 1), 32):
-            block = set(words[start : start + 64])
-            for label, template in licenses.TEMPLATES:
-                held = len(block & set(template.split())) / len(set(template.split()))
+        for (label, template), size in zip(licenses.TEMPLATES, licenses.block_sizes(licenses.TEMPLATES), strict=True):
+            wanted = set(licenses.template_words(template))
+            for start in range(0, max(len(words) - size // 2, 1), size // 2):
+                held = len(set(words[start : start + size]) & wanted) / len(wanted)
                 if held >= 0.8 - 1e-9:
                     more.add(label)
                     best = max(best, held)
@@ -203,12 +203,30 @@ def test_licenses_against_python(spark, rows):
 def test_template_found_across_lines(spark):
     text = "Das ist.\n * Redistribution and use in source and\n * binary forms, with or without modification,\n * are permitted provided that the\n * following conditions are met:\n1."
     df = spark.createDataFrame([(1, "word " * 500 + text), (2, "word " * 100)], "doc_id long, text string")
-    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_labels(spark, df).collect()}
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_labels(df).collect()}
     assert got[1][0] == "bsd" and got[1][1] >= 0.8 and got[2] == ("", 0.0)
 
 
+def test_whole_notices_are_found_wherever_they_stand(spark):
+    r, rows = random.Random(4), []
+    for i, (_, text) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        for k in range(3):
+            lost = set(r.sample(range(len(words)), len(words) // 12))
+            rows.append((i * 10 + k, "wort " * r.randint(0, 400) + " ".join(w for j, w in enumerate(words) if j not in lost) + " ende" * r.randint(0, 300)))
+    found = licenses.license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for x in found:
+        assert licenses.TEMPLATES[x["doc_id"] // 10][0] in x["labels"].split(",") and x["score"] >= 0.8, x
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "the mit license", 7, "x")], "doc_id long, text string, n_words int, base_labels string")
+    got = licenses.phrase_places(df)
+    assert sorted(got.columns) == sorted(set(got.columns)) and got.first()["n_words"] == 3
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
-    assert licenses.license_labels(spark, docs).count() == 0
+    assert licenses.license_labels(docs).count() == 0
     model = secrets.trained(secrets.labelled_samples(spark, 200))
     assert secrets.redacted(secrets.scanned_secrets(docs, model)).count() == 0
