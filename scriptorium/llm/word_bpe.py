@@ -14,11 +14,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from operator import itemgetter
 
-import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -37,8 +35,83 @@ UNCOMMON = re.compile("[\u0300-\u200f\u2028-\U0010ffff]")
 END = "\0"
 
 
+class SuffixAutomaton:
+    """The smallest automaton of all substrings of some tokens; it finds every token that ends at a place of a word.
+
+    A state stands for substrings that end at the same places of the tokens, up to `longest` characters;
+    `link` leads to the next shorter ones.  Tokens are held by the states that they belong to, the longest first.
+    """
+
+    def __init__(self, tokens: Iterable[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.longest = [-1], [0]
+        tokens = list(tokens)
+        for token in tokens:
+            last = 0
+            for c in token:
+                last = self._extended(last, c)
+        held: dict[int, list[str]] = {}
+        for token in tokens:
+            state = 0
+            for c in token:
+                state = self.next[state][c]
+            held.setdefault(state, []).append(token)
+        self.held = {state: sorted(found, key=len, reverse=True) for state, found in held.items()}
+        #: The nearest state on the way of links, from a state on, that holds tokens.
+        self.up = [-1] * len(self.next)
+        for state in sorted(range(1, len(self.next)), key=self.longest.__getitem__):
+            self.up[state] = state if state in held else self.up[self.link[state]]
+        self.tokens = {state: [(len(t), t, {}) for t in found] for state, found in self.held.items()}  # the last: token before -> do they join
+
+    def _new(self, longest: int, steps: dict[str, int], link: int) -> int:
+        self.next.append(steps)
+        self.link.append(link)
+        self.longest.append(longest)
+        return len(self.next) - 1
+
+    def _extended(self, last: int, c: str) -> int:
+        """The state of the text of `last` and c; states are added and split as needed."""
+        known = self.next[last].get(c)
+        if known is not None and self.longest[known] == self.longest[last] + 1:
+            return known
+        new = -1 if known is not None else self._new(self.longest[last] + 1, {}, 0)
+        at = last
+        while new >= 0 and at >= 0 and c not in self.next[at]:
+            self.next[at][c] = new
+            at = self.link[at]
+        if at < 0:
+            return new
+        to = self.next[at][c]
+        if self.longest[to] != self.longest[at] + 1:
+            twin = self._new(self.longest[at] + 1, dict(self.next[to]), self.link[to])
+            self.link[to] = twin
+            while at >= 0 and self.next[at].get(c) == to:
+                self.next[at][c] = twin
+                at = self.link[at]
+            to = twin
+        if new < 0:
+            return to
+        self.link[new] = to
+        return new
+
+    def ends(self, word: str) -> Iterator[tuple[int, list[tuple[int, str, dict[str, bool]]]]]:
+        """(place after a character, tokens of one state that end there); several states a place, the longest tokens first."""
+        state, n = 0, 0
+        for end, c in enumerate(word, 1):
+            while state and c not in self.next[state]:
+                state = self.link[state]
+                n = self.longest[state]
+            state = self.next[state].get(c, 0)
+            n = n + 1 if state else 0
+            at = self.up[state] if state else -1
+            while at > 0:
+                found = self.tokens[at]
+                yield end, found if found[0][0] <= n else [t for t in found if t[0] <= n]
+                at = self.up[self.link[at]] if self.link[at] > 0 else -1
+
+
 class PrefixBpe:
-    """ids and decoded text of words under merges whose tokens may carry a word-end suffix."""
+    """ids of words under merges whose tokens may carry a word-end suffix."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
         def own(token: str) -> str:
@@ -53,12 +126,8 @@ class PrefixBpe:
             self.made.setdefault(pair[0] + pair[1], (i, *pair))
         self.id = {own(t): i for t, i in vocab.items()}
         self.tested = 0
-        self.ends = ahocorasick.Automaton()
-        for token in self.id:
-            symbols = len(token) - token.endswith(END)
-            if symbols == 1 or token in self.made and self.joins(*self.made[token][1:], whole=True):
-                self.ends.add_word(token, (len(token), token, {}))  # the last: token before -> do they join
-        self.ends.make_automaton()
+        reachable = (t for t in self.id if len(t) - t.endswith(END) == 1 or t in self.made and self.joins(*self.made[t][1:], whole=True))
+        self.automaton = SuffixAutomaton(reachable)
 
     def joins(self, a: str, b: str, whole: bool = False) -> bool:
         """Whether BPE of a + b ends as [a, b]; with `whole`, whether no merge crosses the boundary until a and b are made.
@@ -86,22 +155,25 @@ class PrefixBpe:
             word += END
         if self.tested > 300_000:
             self.tested = 0
-            for _, _, fits in self.ends.values():
-                fits.clear()
+            for found in self.automaton.tokens.values():
+                for _, _, fits in found:
+                    fits.clear()
         last = [""] * (len(word) + 1)
-        for end, (length, token, fits) in self.ends.iter(word):  # of those that end at a place, the longest comes first
-            end += 1
+        for end, found in self.automaton.ends(word):
             if last[end]:
                 continue
-            if length == end:
-                last[end] = token
-            elif before := last[end - length]:
-                ok = fits.get(before)
-                if ok is None:
-                    ok = fits[before] = self.joins(before, token)
-                    self.tested += 1
-                if ok:
+            for length, token, fits in found:
+                if length == end:
                     last[end] = token
+                    break
+                if before := last[end - length]:
+                    ok = fits.get(before)
+                    if ok is None:
+                        ok = fits[before] = self.joins(before, token)
+                        self.tested += 1
+                    if ok:
+                        last[end] = token
+                        break
         at, out = len(word), []
         while at:
             token = last[at]
@@ -115,11 +187,11 @@ class PrefixBpe:
 class Recent(dict):
     """A dictionary that makes missing values itself and keeps the `limit` to 2 * `limit` keys asked for last."""
 
-    def __init__(self, make: Callable[[str], tuple[str, str]], limit: int):
+    def __init__(self, make: Callable[[str], str], limit: int):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
-    def __missing__(self, key: str) -> tuple[str, str]:
+    def __missing__(self, key: str) -> str:
         found = self.old.get(key) or self.make(key)
         if len(key) < 100:
             if len(self) >= self.limit:
@@ -130,7 +202,7 @@ class Recent(dict):
 
 
 class WordBpe:
-    """ids and decoded text, as strings, of whole texts; words seen lately are looked up."""
+    """Decimal ids of whole texts, and the text that ids stand for; words seen lately are looked up."""
 
     def __init__(self, path: str, limit: int = 150_000):
         with open(path, encoding="utf-8") as f:
@@ -139,35 +211,37 @@ class WordBpe:
         self.normalizer = Tokenizer.from_file(path).normalizer
         self.added = {t["content"]: str(t["id"]) for t in spec["added_tokens"]}
         self.split = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
-        suffix = model["end_of_word_suffix"] or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.bpe = PrefixBpe({t: i for t, i in model["vocab"].items() if t not in self.added}, merges, suffix)
-        self.shown = {t: (f" {i}", " " + t.replace(END, suffix)) for t, i in self.bpe.id.items()}
+        self.bpe = PrefixBpe({t: i for t, i in model["vocab"].items() if t not in self.added}, merges, model["end_of_word_suffix"] or "")
+        self.shown = {t: f" {i}" for t, i in self.bpe.id.items()}
+        self.token = {str(i): t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
         self.byte = {b: c for c, b in byte_chars().items()}
         self.words = regex.compile(WORDS)
         self.known = Recent(self._word, limit)
 
-    def _word(self, word: str) -> tuple[str, str]:
-        """" id id ..." and " token token ...", with a space before each."""
+    def _word(self, word: str) -> str:
+        """The ids of a word, with a space before each."""
         byte_level = word if word.isascii() and word.isprintable() else "".join(map(self.byte.__getitem__, word.encode()))
-        found = list(map(self.shown.__getitem__, self.bpe.encode(byte_level)))
-        return "".join([x[0] for x in found]), "".join([x[1] for x in found])
+        return "".join(map(self.shown.__getitem__, self.bpe.encode(byte_level)))
 
-    def _plain(self, text: str) -> list[tuple[str, str]]:
+    def _plain(self, text: str) -> list[str]:
         # There nothing is composed and every letter's lower case is its own; elsewhere the library normalises.
         text = self.normalizer.normalize_str(text) if UNCOMMON.search(text) else text.lower()
         return list(map(self.known.__getitem__, self.words.findall(text)))
 
-    def __call__(self, text: str) -> tuple[int, str, str]:
-        """Number of ids; decimal ids joined by a space; tokens joined by a space, as the vocabulary's decoder-less decoding does."""
+    def encode(self, text: str) -> list[str]:
+        """The ids of a text, as decimals."""
         if "<" in text and self.split.search(text):
-            found: list[tuple[str, str]] = []
+            found: list[str] = []
             for piece in filter(None, self.split.split(text)):
-                found += [(f" {self.added[piece]}", f" {piece}")] if piece in self.added else self._plain(piece)
+                found += [f" {self.added[piece]}"] if piece in self.added else self._plain(piece)
         else:
             found = self._plain(text)
-        ids = "".join(map(itemgetter(0), found))
-        return ids.count(" "), ids[1:], "".join(map(itemgetter(1), found))[1:]
+        return "".join(found).split()
+
+    def decode(self, ids: Iterable[str]) -> str:
+        """Tokens joined by a space, as the vocabulary, which has no decoder, asks for; ids that it lacks are left out."""
+        return " ".join(filter(None, map(self.token.get, ids)))
 
 
 @lru_cache(maxsize=2)
@@ -182,9 +256,9 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = loaded(vocabulary)
         for batch in batches:
-            found = [code(x.as_py() or "") for x in batch.column(1)]
-            ids = pa.array([[int(i) for i in x[1].split()] for x in found], pa.list_(pa.int32()))
-            decoded = pa.array([x[2] for x in found], pa.string())
+            found = [code.encode(x.as_py() or "") for x in batch.column(1)]
+            ids = pa.array([list(map(int, x)) for x in found], pa.list_(pa.int32()))
+            decoded = pa.array(map(code.decode, found), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
@@ -192,8 +266,20 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     )
 
 
+def decoded(ids: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, decoded, of ids(doc_id, ids array<int>); null ids are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = loaded(vocabulary)
+        for batch in batches:
+            texts = pa.array([code.decode(map(str, x.as_py() or [])) for x in batch.column(1)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["doc_id", "decoded"])
+
+    return ids.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, decoded string")
+
+
 def encoded_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text, made where the text is encoded; null text is empty."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text, made where the text is encoded; the second text is decoded from the ids; null text is empty."""
 
     def sha(text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest()
@@ -201,7 +287,7 @@ def encoded_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = loaded(vocabulary)
         for batch in batches:
-            rows = [(n, sha(ids), sha(decoded)) for n, ids, decoded in (code(x.as_py() or "") for x in batch.column(1))]
+            rows = [(len(ids), sha(" ".join(ids)), sha(code.decode(ids))) for ids in (code.encode(x.as_py() or "") for x in batch.column(1))]
             columns = [batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string())))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

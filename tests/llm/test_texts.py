@@ -42,6 +42,24 @@ def test_word_bpe(docs):
         assert r["ids"] == ids and r["decoded"] == exact.decode(ids, skip_special_tokens=False)
 
 
+def test_ids_round_trip(spark, docs):
+    got = word_bpe.encoded(docs, registry.WORD_BPE)
+    again = {r["doc_id"]: r["decoded"] for r in word_bpe.decoded(got.select("doc_id", "ids"), registry.WORD_BPE).collect()}
+    assert all(again[r["doc_id"]] == r["decoded"] for r in got.collect())
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [10**8])], "doc_id long, ids array<int>")
+    assert [r["decoded"] for r in word_bpe.decoded(odd, registry.WORD_BPE).orderBy("doc_id").collect()] == ["", "", ""]
+
+
+def test_suffix_automaton_finds_every_token():
+    r = random.Random(3)
+    for _ in range(200):
+        tokens = {"".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 12))}
+        automaton, word = word_bpe.SuffixAutomaton(tokens), "".join(r.choice("abcd") for _ in range(30))
+        got = [(end, t) for end, found in automaton.ends(word) for _, t, _ in found]
+        want = [(end, t) for end in range(1, 31) for t in sorted(tokens, key=len, reverse=True) if word[:end].endswith(t)]
+        assert got == want
+
+
 def test_digests_are_of_the_ids(docs):
     got = {r["doc_id"]: r for r in word_bpe.encoded_digests(docs, registry.WORD_BPE).collect()}
     for r in word_bpe.encoded(docs, registry.WORD_BPE).collect():
