@@ -40,8 +40,14 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2)
         encode = loaded(vocabulary)
         seen: Counter[int] = Counter()
         part = TaskContext.get().partitionId()
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        rows: list[tuple] = []
         for batch in batches:
-            rows: list[tuple] = []
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
                 n, at, k = len(ids), 0, 0
@@ -51,10 +57,11 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2)
                     rows.append((key.as_py(), k, at, length, crc, part, seen[length]))
                     seen[length] += 1
                     at, k = at + length, k + 1
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+                if len(rows) >= 4096:
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 

@@ -76,18 +76,18 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 def truncated_total(sums: DataFrame, limits: DataFrame) -> DataFrame:
     """limits(context_limit long) -> context_limit, truncated_tokens: tokens left when every document is cut to the limit.
 
-    The documents longer than a limit are those of the next greater length that occurs.
+    The documents longer than a limit are those of the next greater length that occurs, which a window over
+    lengths and limits finds; of rows there are as many as lengths and limits differ.
     """
-    both = limits.select("context_limit").distinct().join(
-        F.broadcast(sums.select("n_tokens", "docs_at_least", "tokens_at_least", "total_tokens")), F.col("n_tokens") > F.col("context_limit"), "left"
-    )
-    nearest = both.groupBy("context_limit").agg(F.min_by(F.struct("docs_at_least", "tokens_at_least"), "n_tokens").alias("x"))
-    total = sums.agg(F.max("total_tokens").alias("total_tokens"))
-    return nearest.crossJoin(F.broadcast(total)).select(
-        "context_limit",
-        F.coalesce(
-            F.col("total_tokens") - F.col("x.tokens_at_least") + F.col("context_limit") * F.col("x.docs_at_least"),
-            F.col("total_tokens"),
-            F.lit(0),
-        ).alias("truncated_tokens"),
+    lengths = sums.select(F.col("n_tokens").alias("at"), F.lit(False).alias("asked"), "docs_at_least", "tokens_at_least", "total_tokens")
+    none = F.lit(None).cast("long")
+    asked = limits.select("context_limit").distinct()
+    both = lengths.unionByName(asked.select(F.col("context_limit").alias("at"), F.lit(True).alias("asked"), *[none.alias(c) for c in lengths.columns[2:]]))
+    after = Window.orderBy("at", F.col("asked").desc()).rowsBetween(1, Window.unboundedFollowing)
+    every = Window.orderBy("at", F.col("asked").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    longer = F.first(F.when(~F.col("asked") & (F.col("docs_at_least") > 0), F.struct("at", "docs_at_least", "tokens_at_least")), ignorenulls=True).over(after)
+    found = both.select("at", "asked", longer.alias("x"), F.max("total_tokens").over(every).alias("total")).where("asked")
+    return found.select(
+        F.col("at").alias("context_limit"),
+        F.coalesce(F.col("total") - F.col("x.tokens_at_least") + F.col("at") * F.col("x.docs_at_least"), "total", F.lit(0)).alias("truncated_tokens"),
     )

@@ -108,6 +108,37 @@ def test_packing(spark, docs):
     assert packing.packed(docs.limit(0), registry.BYTE_BPE).count() == 0
 
 
+def test_patterns_against_piece_by_piece():
+    """One sequence at a time over a plain list of lengths, with the same choices."""
+
+    def one(left, size):
+        used, gap = [], size
+        for x in sorted(left, reverse=True):
+            if x <= gap:
+                used.append(x)
+                gap -= x
+        rest = Counter(left) - Counter(used)
+        if gap and len(used) > 1:
+            smallest = min(used)
+            lengths = sorted(rest.elements())
+            sums = {a + b for i, a in enumerate(lengths) for b in lengths[i + 1 :] if a + b <= gap + smallest}
+            if sums and max(sums) > smallest:
+                return sum(used) - smallest + max(sums)
+        return sum(used)
+
+    r = random.Random(2)
+    for _ in range(300):
+        size = r.randint(5, 30)
+        counts = Counter(r.randint(1, size) for _ in range(r.randint(1, 25)))
+        left = Counter(counts)
+        for pattern, times in packing.patterns(dict(counts), size):
+            for _ in range(times):
+                if times == 1 or left == counts:
+                    assert sum(k * n for k, n in pattern.items()) == one(list(left.elements()), size)
+                left -= Counter(pattern)
+        assert not left
+
+
 def test_two_fit_beats_greedy():
     # greedy fills 10 with 6 + 3; 2 + 2 in place of 3 fill it
     assert packing.patterns({6: 1, 3: 1, 2: 2}, 10)[0] == ({6: 1, 2: 2}, 1)
@@ -160,6 +191,46 @@ def test_quality_held_out(spark):
     assert n > 500 and right / n >= 0.98
 
 
+def spans_of(text):
+    """All that the classifier sees in a text, as plain strings."""
+    words, found = text.split(), Counter({("text",): 1})
+    found.update(("word", w) for w in words)
+    found.update(("pair", a, b) for a, b in zip(words[:-1], words[1:], strict=True))
+    found.update(("again",) for a, b in zip(words[:-1], words[1:], strict=True) if a == b)
+    for n in (3, 4, 5):
+        found.update(("gram", f" {w} "[i : i + n]) for w in words for i in range(len(w) + 3 - n))
+    return found
+
+
+def test_quality_features_against_python():
+    """Equal features have equal buckets in all texts, and every text has as many of each as it has spans."""
+    r = random.Random(6)
+    some = ["", " ", "a", "a a a", "ab  cd ab", "x" * 50, "é ß 日本", *(" ".join("".join(r.choice("abé") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 30))) for _ in range(120))]
+    bucket, text = quality.features(some)
+    alone = {}
+    for i, t in enumerate(some):
+        got, want = Counter(bucket[text == i].tolist()), spans_of(t)
+        assert sum(got.values()) == sum(want.values())
+        alone[i] = got, want
+    place = {}  # the bucket of each span, from texts in which its count is unique
+    for got, want in alone.values():
+        for span, n in want.items():
+            fits = {b for b, m in got.items() if m >= n}
+            place[span] = place.get(span, fits) & fits
+    assert all(place.values())
+    model = quality.Model(np.random.default_rng(0).normal(size=quality.BUCKETS).astype(np.float32), 0.2)
+    mean = [np.mean(model.weight[bucket[text == i]]) for i in range(len(some))]
+    assert np.allclose(model.scores(some), 1 / (1 + np.exp(-(np.array(mean) + 0.2))), atol=1e-5)
+
+
+def test_quality_with_several_and_null_labels(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (None, 1), (3, 0), (3, 0), (4, 7)], "doc_id long, quality int")
+    rows = {r["doc_id"]: r["label"] for r in quality.training_rows(docs, labels, "quality", 10).collect()}
+    held = {i for i in range(30) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert rows == {k: v for k, v in {1: 1, 3: 0}.items() if k not in held}
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "x" * 100_000, "c"), (2, "", "b")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -168,6 +239,51 @@ def test_quality_edges(spark):
     assert quality.judged(docs.limit(0), quality.quality_model(docs.limit(0), none)).count() == 0
 
 
+def test_long_conversations_read_back_from_the_joined_text(spark):
+    """Turns are found again in the whole formatted conversation, by its marks alone."""
+    r = random.Random(4)
+    rows = [(c, i, r.choice(["user", "assistant"]), "".join(r.choice(["a", "\n", "<|im_end|>", "<|im_start|>", "<\\|", " "]) for _ in range(6))) for c in (1, 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    joined, want = defaultdict(list), defaultdict(list)
+    for x in chat.rendered(chat.events_of(df)).collect():
+        joined[x["conv_id"]].append((x["n"], x["formatted"]))
+    for c, _, role, text in rows:
+        want[c].append((role, text))
+    for c in want:
+        whole = "".join(t for _, t in sorted(joined[c]))
+        parts = [chat.START + p for p in whole.split(chat.START)[1:]]
+        assert [chat.read_back(p) for p in parts] == want[c]
+
+
+def test_pipeline_edges(spark, sf, tmp_path):
+    """Null, empty and repeated texts, columns with names of our own, and a table without rows go through all stages."""
+    for name in ("labels",):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = [(1, None, "k1"), (2, "", "x"), (2, "", "x"), (None, "a plain text", None), (4, "a plain text", "y"), (5, "token=abcdefghijklmnop", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __score string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    one = stages.one_of_each(spark, docs, str(tmp_path))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in one.collect()) == [(1, None), (2, ""), (4, "a plain text"), (5, "token=abcdefghijklmnop")]
+    assert one.columns == docs.columns
+    assert {r["text"] for r in stages.secrets_masked(spark, docs, str(tmp_path)).collect()} >= {None, "", "[secret]"}
+    assert stages.good_quality(spark, docs, str(tmp_path)).columns == docs.columns
+    assert stages.sequences(spark, docs, str(tmp_path)).count() == 6
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_pipeline_run(spark, sf):
+    """The whole pipeline against its stages applied by hand."""
+    got = corpus_pipeline.run(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+    want = stages.sequences(spark, docs, sf)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert Counter(map(tuple, got.select(columns).collect())) == Counter(map(tuple, want.select(columns).collect()))
+
+
 def test_pipeline(spark, sf):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "secret scans", "best-fit packing"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
