@@ -56,10 +56,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(df: DataFrame) -> None:
-    """Delete the files of a `written` table that nothing reads any more."""
+    """Delete the files of a `written` table that nothing reads any more; shuffle files of plans that are gone go with the driver's next collection, which this asks for."""
     entry = df.sparkSession, df.written_to
     _delete(*entry)
     _written.remove(entry)
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def small_enough(df: DataFrame, most: int = 64 << 20) -> DataFrame:

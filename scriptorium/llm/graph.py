@@ -44,27 +44,30 @@ def components(links: DataFrame) -> DataFrame:
     The edges of a round are deleted once those of the next are written.
     """
 
-    def digest(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
+    def state(e: DataFrame) -> tuple[int, int]:
+        """How many edges there are, and nodes that keep them from being stars."""
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return tuple(nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0))).first())
 
     def large(e: DataFrame, n: int) -> DataFrame:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         return _with_least(both, n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
-    def small(e: DataFrame, n: int) -> DataFrame:
+    def small(e: DataFrame) -> DataFrame:
+        # no hubs here: a node has no more smaller neighbours than it had links to smaller ones
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-        return _with_least(down, n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        tied = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u")
+        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        return tied.select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct()
 
     edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    before = digest(edges)
-    while before[0]:
-        new = written(small(large(edges, before[0]), before[0]), "edges")
-        now = digest(new)
+    n, loose = state(edges)
+    while loose:
+        new = written(small(large(edges, n)), "edges")
+        n, loose = state(new)
         dropped(edges)
         edges = new
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -8,7 +8,7 @@ only one of each class goes on.
 Each of a number of trees has eight minimum hashes of a class; sorted, they are a prefix trie,
 and a class matches its neighbours in the sorting as far as their longest common
 prefix reaches.  Classes that share all eight are candidates first.  Then matched prefixes
-are shortened, one hash at a time, each only if the run of classes that it then leads
+are shortened, two hashes at a time, each only if the run of classes that it then leads
 to is not connected yet, and down to the depth at which a pair right at the
 threshold is found with the target recall.
 
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.columns import row_keys
-from scriptorium.llm.common import over_groups, small_enough, written
+from scriptorium.llm.common import dropped, over_groups, small_enough, written
 from scriptorium.llm.graph import components, local_roots
 from scriptorium.llm.vectext import Hashed, mixed, portions, word_characters
 from scriptorium.llm.vectors import LAST
@@ -39,6 +38,8 @@ from scriptorium.llm.vectors import LAST
 WORDS = 5
 #: Minimum hashes of a tree are kept in 16 bits each, four to a long.
 TREES, DEPTH = 24, 8
+#: So many hashes a prefix is shortened by at a time.
+SHORTER = 2
 #: Signatures may agree this much less often than the threshold says (over five standard deviations of all 192 hashes).
 MARGIN = 0.16
 #: Members of a run, and classes and their shingles, that meet in a task: at most two tiles.
@@ -165,15 +166,17 @@ def prefix(depth: int) -> list[F.Column]:
 
 
 def run_links(members: DataFrame, reps: DataFrame, least_share: float) -> DataFrame:
-    """u, v: for each run of classes, a tree of links that connects just what pairs of likely enough signatures connect.
+    """u, v: components so far that pairs of likely enough signatures in a run connect, each tied to the smallest.
 
-    members(tree, p1, p2, tiles, ord, c1): a run has tree, p1 and p2 in common, and is dealt into `tiles`.
+    members(tree, p1, p2, tiles, ord, c1, f_ord, f_c1): a run has tree, p1 and p2 in common, and is dealt
+    into `tiles`; f_ord and f_c1 name the component that the class is of.
     """
+    run = ["tree", "p1", "p2", "a", "b"]
     dealt = (
         members.join(reps.select("ord", "c1", "bytes"), ["ord", "c1"])
         .withColumn("own", F.pmod(F.xxhash64("ord", "c1"), F.col("tiles")).cast("int"))
         .withColumn("met", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("tree", "p1", "p2", F.least("own", "met").alias("a"), F.greatest("own", "met").alias("b"), "ord", "c1", "bytes")
+        .select("tree", "p1", "p2", F.least("own", "met").alias("a"), F.greatest("own", "met").alias("b"), "f_ord", "f_c1", "bytes")
     )
     # equal bytes are equal minima but for one in 256
     enough = least_share + (1 - least_share) / 256
@@ -182,25 +185,28 @@ def run_links(members: DataFrame, reps: DataFrame, least_share: float) -> DataFr
         n = len(g)
         if n < 2:
             return None
+        g = g.sort_values(["f_ord", "f_c1"], ignore_index=True)
         sig = np.frombuffer(b"".join(g["bytes"]), np.uint8).reshape(n, -1)
-        need = enough * sig.shape[1]
+        o, c = g["f_ord"].to_numpy(), g["f_c1"].to_numpy()
+        own = np.concatenate([[0], np.cumsum((o[1:] != o[:-1]) | (c[1:] != c[:-1]))])  # the smallest component comes first
+        first = np.searchsorted(own, np.arange(own[-1] + 1))
         waiting, links, todo = np.arange(n), [], []
         while len(waiting):
             if not todo:
                 todo, waiting = [waiting[0]], waiting[1:]
             x = todo.pop()
-            near = (sig[waiting] == sig[x]).sum(axis=1) >= need
-            for y in waiting[near]:
-                links.append((x, y))
-                todo.append(y)
+            near = (sig[waiting] == sig[x]).sum(axis=1) >= enough * sig.shape[1]
+            links += [(own[x], own[y]) for y in waiting[near] if own[x] != own[y]]
+            todo += list(waiting[near])
             waiting = waiting[~near]
         if not links:
             return None
-        i, j = np.array(links).T
-        o, c = g["ord"].to_numpy(), g["c1"].to_numpy()
+        root = local_roots(len(first), *np.array(links).T)
+        moved = np.flatnonzero(root != np.arange(len(first)))
+        i, j = first[moved], first[root[moved]]
         return pd.DataFrame({"u_ord": o[i], "u_c1": c[i], "v_ord": o[j], "v_c1": c[j]})
 
-    tied = over_groups(dealt, ["tree", "p1", "p2", "a", "b"], [], tie, "u_ord long, u_c1 long, v_ord long, v_c1 long")
+    tied = over_groups(dealt, run, [], tie, "u_ord long, u_c1 long, v_ord long, v_c1 long")
     u = F.struct(F.col("u_ord").alias("ord"), F.col("u_c1").alias("c1")).alias("u")
     return tied.select(u, F.struct(F.col("v_ord").alias("ord"), F.col("v_c1").alias("c1")).alias("v")).distinct()
 
@@ -208,25 +214,28 @@ def run_links(members: DataFrame, reps: DataFrame, least_share: float) -> DataFr
 def candidates(reps: DataFrame, threshold: float, recall: float, trees: int = TREES) -> DataFrame:
     """node, component: of the classes, those that candidate pairs connect, by the smallest of each component.
 
-    Goes through the depths of the forest, from the full one down.  A run of classes that share a prefix is
-    looked at only if it holds classes of more than one component so far: what it would add otherwise is verified anyway.
+    Goes through depths of the forest, from the full one down to that of the target recall.  A run of classes that share a
+    prefix is looked at only if it holds classes of more than one component so far: what it would add otherwise is verified anyway.
     """
     floor = shortest(threshold, recall, trees)
     forest = written(tries(reps, floor), "tries")
-    found = None
-    for depth in range(DEPTH, floor - 1, -1):
-        matched = forest.where(F.col("deep") >= depth).select("tree", *prefix(depth), "ord", "c1")
-        label = F.xxhash64("ord", "c1")
-        if found is not None:
-            known = found.select(F.col("node.ord").alias("ord"), F.col("node.c1").alias("c1"), F.xxhash64("component.ord", "component.c1").alias("known"))
-            matched, label = matched.join(known, ["ord", "c1"], "left"), F.coalesce("known", label)
-        matched = matched.withColumn("label", label)
-        runs = matched.groupBy("tree", "p1", "p2").agg(F.ceil(F.count(F.lit(1)) / BUCKET_TILE).cast("int").alias("tiles"), F.min("label").alias("x"), F.max("label").alias("y"))
+    found = written(components(reps.select(F.struct("ord", "c1").alias("u"), F.struct("ord", "c1").alias("v")).limit(0)), "found")
+    for depth in (*range(DEPTH, floor, -SHORTER), floor):
+        known = found.select(F.col("node.ord").alias("ord"), F.col("node.c1").alias("c1"), F.col("component.ord").alias("f_ord"), F.col("component.c1").alias("f_c1"))
+        matched = forest.where(F.col("deep") >= depth).select("tree", *prefix(depth), "ord", "c1").join(known, ["ord", "c1"], "left")
+        matched = matched.withColumns({"f_c1": F.when(F.col("f_ord").isNull(), F.col("c1")).otherwise(F.col("f_c1")), "f_ord": F.coalesce("f_ord", "ord")})
+        label = F.xxhash64("f_ord", "f_c1")
+        runs = matched.groupBy("tree", "p1", "p2").agg(F.ceil(F.count(F.lit(1)) / BUCKET_TILE).cast("int").alias("tiles"), F.min(label).alias("x"), F.max(label).alias("y"))
         members = matched.join(runs.where("x <> y").select("tree", "p1", "p2", "tiles"), ["tree", "p1", "p2"])
-        links = written(run_links(members.select("tree", "p1", "p2", "tiles", "ord", "c1"), reps, threshold - MARGIN), f"links-{depth}")
-        if found is None or not links.isEmpty():
-            before = [] if found is None else [found.select(F.col("node").alias("u"), F.col("component").alias("v"))]
-            found = written(components(reduce(DataFrame.unionByName, before, links)), f"found-{depth}")
+        links = written(run_links(members, reps, threshold - MARGIN), "links")
+        if not links.isEmpty():
+            new = components(links).select(F.col("node").alias("component"), F.col("component").alias("moved"))
+            before = found.join(new, "component", "left").select("node", F.coalesce("moved", "component").alias("component"))
+            alone = new.join(found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("moved").alias("component"))
+            old, found = found, written(before.unionByName(alone), "found")
+            dropped(old)
+        dropped(links)
+    dropped(forest)
     return found
 
 
