@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import lexicon as lx
@@ -80,19 +80,31 @@ def packed(text: str, most: int = 4200) -> list[tuple[str, bool, int, str]]:
 
 
 def batches(docs: DataFrame, most: int = 4200, context: int = 1800) -> DataFrame:
-    """doc_id, batch, text, protected, n_words, heading, context_before, context_after (of editable neighbours)."""
-    schema = "doc_id long, batch int, text string, protected boolean, n_words int, heading string"
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = [(d, i, *b) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i, b in enumerate(packed(t or "", most))]
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
-
-    made = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, schema)
-    near = Window.partitionBy("doc_id", "protected").orderBy("batch")
-    before = F.expr(f"trim(right(lag(text) OVER (PARTITION BY doc_id, protected ORDER BY batch), {context}))")
-    after = F.trim(F.substring(F.lead("text").over(near), 1, context))
-    return made.withColumns({"context_before": F.when(~F.col("protected"), before), "context_after": F.when(~F.col("protected"), after)})
+    """doc_id, batch, text, protected, n_words, heading, context_before, context_after (of editable neighbours).
+
+    Made row by row, so repeated and null ids are documents of their own; null texts have no batches.
+    """
+    schema = "doc_id long, batch int, text string, protected boolean, n_words int, heading string, context_before string, context_after string"
+
+    def of(doc_id: int | None, text: str) -> list[tuple]:
+        made = packed(text, most)
+        editable = [i for i, b in enumerate(made) if not b[1]]
+        near = {i: (editable[k - 1] if k else None, editable[k + 1] if k + 1 < len(editable) else None) for k, i in enumerate(editable)}
+        rows = []
+        for i, b in enumerate(made):
+            before, after = near.get(i, (None, None))
+            rows.append((doc_id, i, *b, None if before is None else made[before][0][-context:].strip(" "), None if after is None else made[after][0][:context].strip(" ")))
+        return rows
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.string()]
+        names = [f.split()[0] for f in schema.split(", ")]
+        for batch in it:
+            rows = [r for d, t in zip(batch.column(0), batch.column(1), strict=True) for r in of(d.as_py(), t.as_py() or "")]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def marked(paragraphs: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ first and put back last, so no edit can touch it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import count
 
 from scriptorium.functions import lexicon as lx
 from scriptorium.functions import phrases as ph
@@ -53,19 +55,26 @@ def private(i: int) -> str:
     return (chr(0x100000 + lead - 1) if lead else "") + chr(0xF0000 + at)
 
 
+def marks(text: str) -> Iterator[str]:
+    """Marks without end, none of whose characters stands in `text`."""
+    used = set(text)
+    return (m for m in map(private, count()) if not used & set(m))
+
+
 class Masked:
     """A text whose protected spans, the first kind that finds them first, are private characters."""
 
     def __init__(self, text: str, terms: list[str]):
-        taken, self.kept = [], {}
+        starts, ends, self.kept = [], [], {}
         for rx in [re.compile(re.escape(t)) for t in sorted(set(filter(None, terms)), key=len, reverse=True)] + EVIDENCE:
             for m in rx.finditer(text):
                 a, b = m.span()
-                if a < b and not any(a < d and c < b for c, d in taken):
-                    taken.append((a, b))
+                i = bisect_left(starts, a)
+                if a < b and (not i or ends[i - 1] <= a) and (i == len(starts) or starts[i] >= b):
+                    starts.insert(i, a)
+                    ends.insert(i, b)
         out, at = [], 0
-        for i, (a, b) in enumerate(sorted(taken)):
-            mark = private(i)
+        for a, b, mark in zip(starts, ends, marks(text), strict=False):
             self.kept[mark] = text[a:b]
             out += [text[at:a], mark]
             at = b

@@ -77,28 +77,28 @@ def _limit(words: Column, few: int, loose: float, share: int, least: float, most
 
 def changed_characters(a: Column, b: Column) -> Column:
     """Places at which two texts differ, and the difference of their lengths."""
-    n = F.least(F.length(a), F.length(b))
-    differ = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
-    return F.when(n > 0, F.size(differ)).otherwise(0) + F.abs(F.length(a) - F.length(b))
+    places = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))
+    return F.when((a == "") | (b == ""), F.length(a) + F.length(b)).otherwise(F.size(F.filter(places, lambda same: ~same)))
 
 
 def chosen(sources: DataFrame, candidates: DataFrame, never_worse: bool) -> DataFrame:
     """doc_id, text, applied, applied_level, preservation_passed, preservation_issues, score_before, score_after.
 
-    sources(doc_id, text, terms, change_limit); candidates(doc_id, level, candidate).
-    A document whose candidates all break evidence, or read worse, keeps its text.
+    sources(rid, doc_id, text, terms, change_limit), rid being a row's own; candidates(rid, level, candidate).
+    A document whose candidates all break evidence, or read worse, keeps its text.  Of equal scores the
+    stronger level wins, then the one that changes more characters.
     """
     rank = F.create_map(*[x for i, v in enumerate(("light", "balanced", "deep")) for x in (F.lit(v), F.lit(i))])
-    both = candidates.join(sources, "doc_id").withColumn("issues", preservation.broken(F.col("text"), F.col("candidate"), F.col("change_limit"), F.col("terms")))
-    both = stored(both.withColumn("key", F.concat_ws(":", "doc_id", "level")))  # three branches read the candidates
+    both = candidates.join(sources, "rid").withColumn("issues", preservation.broken(F.col("text"), F.col("candidate"), F.col("change_limit"), F.col("terms")))
+    both = stored(both.withColumn("key", F.concat_ws(":", "rid", "level")))  # three branches read the candidates
     scored = style.style_report(both.select(F.col("key").alias("doc_id"), F.col("candidate").alias("text")))
     scored = scored.select(F.col("doc_id").alias("key"), F.col("naturalness_score").alias("score_after"))
     ok = both.where(F.size("issues") == 0).join(scored, "key").withColumn("rank", F.element_at(rank, F.col("level")))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("score_after"), F.desc("rank"))
-    best = ok.withColumn("place", F.row_number().over(order)).where("place = 1").select("doc_id", "candidate", "level", "score_after")
-    issues = both.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("issues")))).alias("issues"), F.count(F.lit(1)).alias("tried"))
-    before = style.style_report(sources).select("doc_id", F.col("naturalness_score").alias("score_before"))
-    out = sources.join(before, "doc_id").join(best, "doc_id", "left").join(issues, "doc_id", "left")
+    order = Window.partitionBy("rid").orderBy(F.desc("score_after"), F.desc("rank"), F.desc(changed_characters(F.col("text"), F.col("candidate"))))
+    best = ok.withColumn("place", F.row_number().over(order)).where("place = 1").select("rid", "candidate", "level", "score_after")
+    issues = both.groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("issues")))).alias("issues"), F.count(F.lit(1)).alias("tried"))
+    before = style.style_report(sources.select(F.col("rid").alias("doc_id"), "text")).select(F.col("doc_id").alias("rid"), F.col("naturalness_score").alias("score_before"))
+    out = sources.join(before, "rid").join(best, "rid", "left").join(issues, "rid", "left")
     take = F.col("candidate").isNotNull() & (F.lit(not never_worse) | (F.col("score_after") >= F.col("score_before")))
     failed = (F.coalesce("tried", F.lit(0)) > 0) & F.col("candidate").isNull()
     return out.select(
@@ -117,15 +117,17 @@ def _sources(docs: DataFrame, terms: list[str], few: int, loose: float, share: i
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.greatest(F.lit(1), tx.n_words_wide(text))
     keep = F.array(*map(F.lit, terms)).cast("array<string>")
-    return docs.select("doc_id", text.alias("text"), preservation.protected_terms(keep).alias("terms"), _limit(words, few, loose, share, least, most).alias("change_limit"))
+    limit = _limit(words, few, loose, share, least, most).alias("change_limit")
+    rows = docs.select("doc_id", text.alias("text"), preservation.protected_terms(keep).alias("terms"), limit)
+    return stored(rows.withColumn("rid", F.monotonically_increasing_id()))  # repeated and null ids are rows of their own
 
 
 def rewritten(docs: DataFrame, mode: str = "balanced", terms: list[str] | None = None) -> DataFrame:
     """Local editing, without any look at signals.  Modes: light, balanced, deep, off.  Null texts are empty."""
     sources = _sources(docs, terms or [], 120, 0.60, 90, 0.14, 0.48)
     levels = [] if mode == "off" else LEVELS.get(mode, LEVELS["balanced"])
-    made = sources.where(tx.strip(F.col("text")) != "").select("doc_id", F.explode(_local(levels)("text", "terms")).alias("c"))
-    return chosen(sources, made.select("doc_id", "c.level", "c.candidate"), never_worse=True)
+    made = sources.where(tx.strip(F.col("text")) != "").select("rid", F.explode(_local(levels)("text", "terms")).alias("c"))
+    return chosen(sources, made.select("rid", "c.level", "c.candidate"), never_worse=True)
 
 
 def guided_families(scores: DataFrame) -> DataFrame:
@@ -147,8 +149,8 @@ def rewritten_guided(docs: DataFrame, scores: DataFrame, segments: DataFrame, mo
     each = sources.join(guided_families(scores), "doc_id").join(flagged, "doc_id")
     run = _guided(GUIDED_LEVELS.get(mode, ["deep"]))
     starts, ends = F.transform("at", lambda x: x["start"]), F.transform("at", lambda x: x["end"])
-    made = each.select("doc_id", F.explode(run("text", "terms", "families", starts, ends)).alias("c"))
-    return chosen(sources, made.select("doc_id", "c.level", "c.candidate"), never_worse=False)
+    made = each.select("rid", F.explode(run("text", "terms", "families", starts, ends)).alias("c"))
+    return chosen(sources, made.select("rid", "c.level", "c.candidate"), never_worse=False)
 
 
 def rewritten_by(batches: DataFrame, model: Callable[[str], str], retries: int = 2, terms: list[str] | None = None, limit: float = 0.18) -> DataFrame:

@@ -160,7 +160,7 @@ def style_report(docs: DataFrame, targets: Variation | None = None) -> DataFrame
 
 
 def word_table(prose: DataFrame) -> DataFrame:
-    """doc_id, word, n: how often each word stands in a text; counted within the partition of the document."""
+    """doc_id, word, n: how often each word stands in a text; partial counts are made before the exchange."""
     return prose.select("doc_id", F.explode(tx.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -176,19 +176,36 @@ def top_token_share(prose: DataFrame, k: int = 12) -> DataFrame:
 
 
 def ngram_repetition(prose: DataFrame) -> DataFrame:
-    """doc_id, repeated_units, n_words, ngram_pct: runs of 2 to 4 words, not all stock words, that occur three times or more."""
+    """doc_id, repeated_units, n_words, ngram_pct: runs of 2 to 4 words, not all stock words, that occur three times or more.
+
+    Counted within the row, without an exchange: runs are 64-bit hashes, sorted, and every one that equals
+    the one two places before it is a third or later occurrence.
+    """
     w = prose.select("doc_id", tx.words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
+    w = w.select(
+        "doc_id", "n_words", F.transform("words", lambda x: F.xxhash64(x)).alias("h1"), F.transform("words", lambda x: ~x.isin(*lx.STOPWORDS)).alias("own1")
+    )
+    for n in (2, 3, 4):
+        last, more = F.slice("h1", n, F.size("h1")), F.slice("own1", n, F.size("h1"))
+        size = F.greatest(F.lit(0), F.col("n_words") - n + 1)
+        w = w.withColumns(
+            {
+                f"h{n}": F.zip_with(F.slice(f"h{n - 1}", F.lit(1), size), last, lambda a, b: F.xxhash64(a, b)),
+                f"own{n}": F.zip_with(F.slice(f"own{n - 1}", F.lit(1), size), more, lambda a, b: a | b),
+            }
+        )
+    ranked = w.select(
+        "doc_id", "n_words",
+        *[F.sort_array(F.array_compact(F.zip_with(f"h{n}", f"own{n}", lambda h, own: F.when(own, h)))).alias(f"g{n}") for n in (2, 3, 4)],
+    )
 
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1)))
-        every = F.filter(F.transform(starts, lambda i: F.slice("words", i, n)), lambda g: F.size(g) == n)
-        return F.transform(F.filter(every, lambda g: F.size(F.array_except(g, F.array(*map(F.lit, lx.STOPWORDS)))) > 0), lambda g: F.array_join(g, " "))
+    def units(n: int) -> Column:
+        g = F.col(f"g{n}")
+        rest = F.greatest(F.lit(0), F.size(g) - 2)
+        again = F.zip_with(F.slice(g, F.lit(3), rest), F.slice(g, F.lit(1), rest), lambda a, b: a == b)
+        return F.size(F.filter(again, lambda same: same)).cast("long") * n
 
-    each = w.where("n_words >= 20").select("doc_id", F.explode(F.concat(grams(2), grams(3), grams(4))).alias("gram"))
-    counted = each.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    size = F.size(F.split("gram", " "))
-    units = counted.groupBy("doc_id").agg(F.sum((F.col("n") - 2) * size).alias("repeated_units"))
-    both = w.select("doc_id", "n_words").join(units, "doc_id", "left").na.fill(0, ["repeated_units"])
+    both = ranked.withColumn("repeated_units", F.when(F.col("n_words") >= 20, units(2) + units(3) + units(4)).otherwise(0).cast("long")).drop("g2", "g3", "g4")
     return both.withColumn("ngram_pct", tx.percent(F.col("repeated_units") / F.greatest(F.lit(1), F.col("n_words")) * 180))
 
 

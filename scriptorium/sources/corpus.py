@@ -15,8 +15,10 @@ from scriptorium.functions import text as tx
 #: Where texts come from; all but the first two are label 1.
 PROVENANCE = (
     "human_original", "human_edited", "gpt_generated", "claude_generated", "gemini_generated", "other_ai_generated", "ai_human_edited",
-    "human_ai_edited", "engine1_output", "engine2_output", "engine3_output", "other_humanizer_output",
+    "human_ai_edited", "engine1_output", "engine2_output", "engine3_output",
 )
+#: Other tools that rewrite text, whatever their name.
+OTHER_TOOL = "^other_[a-z]+_output$"
 SCHEMA = (
     "id string, created_at timestamp, label int, provenance string, source_family string, discipline string, document_type string, "
     "editing_level string, external_scores map<string, double>, notes string, word_count int, text string"
@@ -56,7 +58,7 @@ def samples(raw: DataFrame) -> DataFrame:
     """
     text = tx.strip(F.col("text"))
     words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
-    bad = ~F.col("provenance").isin(*PROVENANCE) | (words < 40)
+    bad = ~(F.col("provenance").isin(*PROVENANCE) | F.col("provenance").rlike(OTHER_TOOL)) | (words < 40)
 
     def cut(name: str, other: str, most: int = 80) -> Column:
         value = tx.strip(F.col(name)) if name in raw.columns else F.lit(other)
@@ -78,13 +80,13 @@ def append(raw: DataFrame, path: str) -> None:
 def status(corpus: DataFrame) -> DataFrame:
     """grouping, value, n, label_0, label_1: all of the corpus and every value of each column of GROUPS, in one pass."""
     named = corpus.select("label", *[F.coalesce(F.nullif(F.col(g), F.lit("")), F.lit("unknown")).alias(g) for g in GROUPS])
-    named.createOrReplaceTempView("scriptorium_corpus_status")
-    sets = ", ".join(f"({g})" for g in GROUPS)
-    grouping = "CASE " + " ".join(f"WHEN grouping({g}) = 0 THEN '{g}'" for g in GROUPS) + " ELSE 'all' END"
-    return corpus.sparkSession.sql(
-        f"SELECT {grouping} AS grouping, coalesce({', '.join(GROUPS)}, 'all') AS value, count(*) AS n, count_if(label = 0) AS label_0, "
-        f"count_if(label = 1) AS label_1 FROM scriptorium_corpus_status GROUP BY GROUPING SETS ({sets}, ())"
-    )
+    sets = named.groupingSets([*([g] for g in GROUPS), []], *GROUPS)
+    counted = sets.agg(
+        *[F.grouping(g).alias(f"without_{g}") for g in GROUPS], F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("label") == 0).alias("label_0"), F.count_if(F.col("label") == 1).alias("label_1"),
+    )
+    grouping = F.coalesce(*[F.when(F.col(f"without_{g}") == 0, g) for g in GROUPS], F.lit("all"))
+    return counted.select(grouping.alias("grouping"), F.coalesce(*GROUPS, F.lit("all")).alias("value"), "n", "label_0", "label_1")
 
 
 def disagreement(corpus: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from scriptorium.sources.scratch import scratch
 from scriptorium.operators import ensemble, signals
 
 SCHEMA = "doc_id long, text string"
@@ -28,10 +29,11 @@ def score_stream(
     """Document scores of every micro-batch, appended as Parquet under `out` by batch; replayed batches overwrite themselves."""
 
     def write(batch: DataFrame, n: int) -> None:
-        scores = ensemble.document_scores(batch, as_of_year)
-        if sink:
-            sink(scores, n)
-        else:
-            scores.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        with scratch():
+            scores = ensemble.document_scores(batch, as_of_year)
+            if sink:
+                sink(scores, n)
+            else:
+                scores.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
