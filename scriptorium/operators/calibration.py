@@ -11,7 +11,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
@@ -148,17 +148,39 @@ def drift(rows: DataFrame, model: dict, recent: int = 30) -> DataFrame:
     return out.withColumn("status", status)
 
 
-def feature_importance(model: dict, limit: int = 15) -> list[dict]:
-    """The features that weigh most, with their shares of the weight shown."""
+def feature_importance(spark: SparkSession, model: dict, limit: int = 15) -> DataFrame:
+    """feature, importance, share (of the importances shown) of the features that weigh most; ties in the model's order."""
     names, kind = model["feature_names"], model["model_type"]
     if kind == "logistic":
         size = {n: abs(model["weights"][n]) for n in names}
     else:
         a, b = (model["classes"][k]["means"] if kind == "gaussian_nb" else model["centroids"][k] for k in "01")
         size = {n: abs(b[n] - a[n]) for n in names}
-    top = sorted(names, key=lambda n: -size[n])[: max(1, limit)]
-    total = sum(size[n] for n in top) or 1.0
-    return [{"feature": n, "importance": round(size[n], 6), "share": round(size[n] / total, 4)} for n in top]
+    rows = spark.createDataFrame([(i, n, float(size[n])) for i, n in enumerate(names)], "i int, feature string, size double")
+    top = rows.orderBy(F.desc("size"), "i").limit(max(1, limit))
+    total = top.agg(F.sum("size").alias("total"))
+    share = F.when(F.col("total") == 0, F.col("size")).otherwise(F.col("size") / F.col("total"))
+    return top.join(F.broadcast(total)).select("feature", F.round("size", 6).alias("importance"), F.round(share, 4).alias("share"))
+
+
+def centroids(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """label, feature, centroid (mean of the standardised feature) and temperature, the mean distance of the two centroids' squares.
+
+    The temperature is the mean absolute difference of a row's squared distances to both
+    centroids, at least 0.2; what a nearest-centroid model needs, in two passes over the rows.
+    """
+    stats = rows.agg(*[f(n).alias(f"{k}{i}") for i, n in enumerate(names) for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = [((F.col(n) - F.col(f"m{i}")) / F.greatest(F.lit(1e-6), F.col(f"s{i}"))).alias(f"z{i}") for i, n in enumerate(names)]
+    scaled = rows.join(F.broadcast(stats)).select("label", *z)
+    means = scaled.groupBy("label").agg(*[F.avg(f"z{i}").alias(f"c{i}") for i in range(len(names))])
+    both = means.agg(*[F.max(F.when(F.col("label") == y, F.col(f"c{i}"))).alias(f"c{y}_{i}") for i in range(len(names)) for y in (0, 1)])
+
+    def distance(y: int) -> Column:
+        return sum(((F.col(f"z{i}") - F.col(f"c{y}_{i}")) * (F.col(f"z{i}") - F.col(f"c{y}_{i}")) for i in range(len(names))), F.lit(0.0))
+
+    heat = scaled.join(F.broadcast(both)).agg(F.greatest(F.lit(0.2), F.avg(F.abs(distance(0) - distance(1)))).alias("temperature"))
+    each = F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"c{i}").alias("centroid")) for i, n in enumerate(names)]))
+    return means.select("label", each).join(F.broadcast(heat))
 
 
 # --- training on the driver ----------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import lexicon as lx
 from scriptorium.functions import text as tx
-from scriptorium.operators.segments import prose_paragraphs, prose_sentences
+from scriptorium.operators.segments import by_document, prose_paragraphs, prose_sentences
 
 WEAK, MODERATE, STRONG = "weak", "moderate", "strong"
 EVIDENCE = "array<struct<description: string, severity: string>>"
@@ -34,17 +34,46 @@ def score(found: Column) -> Column:
 
 
 def longest_runs(sentences: Column) -> Column:
-    """array<struct<start, n>>: runs of two or more sentences in a row that begin with the same two words."""
-    starts = F.transform(sentences, lambda s: tx.opening(s, 2))
-    empty = F.array().cast("array<struct<start: string, n: int>>")
+    """array<struct<start, n, at>>: runs of two or more sentences in a row that begin with the same two words; at: the first one's place, from 0."""
 
-    def step(acc: Column, start: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        same = (start != "") & F.coalesce(last["start"] == start, F.lit(False))
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(start.alias("start"), (last["n"] + 1).alias("n"))))
-        return F.when(same, grown).otherwise(F.concat(acc, F.array(F.struct(start.alias("start"), F.lit(1).alias("n")))))
+    def runs(starts: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(starts) - 1, F.lit(0)))
+        begins = F.filter(places, lambda i: (i == 0) | (F.get(starts, i) != F.get(starts, i - 1)))
 
-    return F.filter(F.aggregate(starts, empty, step), lambda r: (r["n"] >= 2) & (r["start"] != ""))
+        def closed(b: Column) -> Column:
+            ends = F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(F.size(starts)))
+            return F.zip_with(b, ends, lambda x, y: F.struct(F.get(starts, x).alias("start"), (y - x).alias("n"), x.alias("at")))
+
+        return F.flatten(F.transform(F.array(begins), closed))
+
+    # one-element arrays bind the openings, and the places where runs begin, once
+    found = F.flatten(F.transform(F.array(F.transform(sentences, lambda s: tx.opening(s, 2))), runs))
+    return F.filter(found, lambda r: (r["n"] >= 2) & (r["start"] != ""))
+
+
+def windows(lengths: Column) -> Column:
+    """array: for each three lengths in a row, the difference of the greatest and the least."""
+    n = F.size(lengths) - 2
+    three = [F.slice(lengths, F.lit(i), F.greatest(F.lit(0), n)) for i in (1, 2, 3)]
+    pairs = F.zip_with(three[0], three[1], lambda a, b: F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")))
+    return F.zip_with(pairs, three[2], lambda p, c: F.greatest(p["hi"], c) - F.least(p["lo"], c))
+
+
+def tight(lengths: Column) -> Column:
+    """How many windows of three lengths are at most five words apart."""
+    return F.size(F.filter(windows(lengths), lambda d: d <= 5))
+
+
+def burstiness(segments: DataFrame) -> DataFrame:
+    """doc_id, windows, tight: windows of three sentences of a document, and those of like length; none of shorter documents."""
+    each = by_document(segments).select("doc_id", F.transform("sentences", tx.n_words).alias("lengths")).where(F.size("lengths") >= 3)
+    return each.select("doc_id", F.size(windows(F.col("lengths"))).cast("long").alias("windows"), tight(F.col("lengths")).cast("long").alias("tight"))
+
+
+def anaphora(segments: DataFrame) -> DataFrame:
+    """doc_id, at (index of the first sentence), start, n of runs of sentences that begin alike."""
+    runs = by_document(segments).select("doc_id", F.col("at").alias("indexes"), F.inline(longest_runs(F.col("sentences"))))
+    return runs.select("doc_id", F.get("indexes", F.col("at")).alias("at"), "start", F.col("n").cast("long").alias("n"))
 
 
 def _features(prose: DataFrame) -> DataFrame:
@@ -65,15 +94,13 @@ def _features(prose: DataFrame) -> DataFrame:
         }
     )
     n, lengths = F.col("n"), F.col("lengths")
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.slice(lengths, i, 3))
-    tight = F.size(F.filter(windows, lambda w: (F.size(w) == 3) & (F.array_max(w) - F.array_min(w) <= 5)))
     lists = F.filter(tx.lines(F.col("text")), lambda x: tx.has(x, lx.BULLET))
     parts = {
         "sentence_cv": tx.variation(lengths),
         "paragraph_cv": tx.variation(F.col("paragraph_lengths")),
         "vocabulary": F.filter(F.transform(tx.found(body, rf"\b(?:{vocabulary})\b"), F.lower), lambda w: ~w.isin("robust", "comprehensive")),
         "adjectives": tx.hits(body, lx.GENERIC_ADJECTIVE),
-        "tight": tight,
+        "tight": tight(lengths),
         "hedges": tx.count_true([]) + sum((tx.hits(body, p) for p in lx.HEDGES), F.lit(0)),
         "bullets": F.size(lists),
         "bullet_words": F.aggregate(F.transform(lists, tx.n_words), F.lit(0), lambda a, x: a + x),

@@ -111,6 +111,21 @@ def prose_text(segments: DataFrame) -> DataFrame:
     return whole.select("doc_id", F.array_join(F.transform("x", lambda p: p["p"]), "\n\n").alias("text"))
 
 
+def sentence_stats(segments: DataFrame) -> DataFrame:
+    """doc_id, sentences, words, cv (variation of words a sentence, 6 places), p90 of words a sentence."""
+    n = tx.n_words(F.col("text"))
+    return segments.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("sentences"), F.sum(n).alias("words"), F.round(F.stddev_pop(n) / F.nullif(F.avg(n), F.lit(0.0)), 6).alias("cv"),
+        F.round(F.percentile(n, F.lit(0.9)), 6).alias("p90"),
+    )
+
+
+def by_document(segments: DataFrame) -> DataFrame:
+    """doc_id, at (index of each unprotected sentence, in order), sentences."""
+    kept = segments.where("NOT protected").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("index", "text"))).alias("x"))
+    return kept.select("doc_id", F.transform("x", lambda s: s["index"]).alias("at"), F.transform("x", lambda s: s["text"]).alias("sentences"))
+
+
 def coverage(docs: DataFrame, segments: DataFrame) -> DataFrame:
     """doc_id, total_words, assessed_words, excluded_words, assessed_sentences, assessed_paragraphs."""
     per_doc = segments.where("NOT protected").groupBy("doc_id").agg(

@@ -41,6 +41,8 @@ def opening(x: str, n: int = 3) -> str:
     return f"array_to_string(regexp_extract_all(lower({x}), {lit(lx.W2)})[1:{n}], ' ')"
 
 
+#: What RE2 lacks: "not" is no negation before these words, so such pairs are counted and taken off.
+NOT_ONLY, NOT_PAIR = r"(?!\s+(?:only|simply|merely)\b)", r"\bnot\s+(?:only|simply|merely)\b"
 STRIP = "'^\\s+|\\s+$', '', 'g'"
 DOCS = f"docs AS (SELECT doc_id, {demo.TEXT} AS text FROM documents)"
 #: a is the ASCII form of a sentence, for regular expressions; it is as long as the sentence.
@@ -161,7 +163,6 @@ def oracle_sql() -> dict[str, str]:
         "repeated_openings": f"{kept} doc_id, opening, count(*) AS n FROM (SELECT doc_id, {opening('a')} AS opening FROM sents WHERE NOT protected) WHERE opening <> '' GROUP BY ALL HAVING count(*) > 2",
         "repeated_connectors": f"{kept} connector, count(*) AS n FROM (SELECT lower(regexp_extract(a, {lit('(?i)' + lx.CONNECTOR)}, 1)) AS connector FROM sents WHERE NOT protected) WHERE connector <> '' GROUP BY ALL",
         "repeated_frames": f"{kept} doc_id, " + ", ".join(f"sum({hits('a', chr(92) + 'b' + f + chr(92) + 'b')})::BIGINT AS {f.replace(' ', '_')}" for f in lx.FRAMES) + " FROM sents WHERE NOT protected GROUP BY doc_id",
-        "section_profile": f"{scored} doc_id, section, count(*) AS segment_count, round(avg(own_risk), 2) AS mean_signal, count_if(own_risk >= 45) AS elevated_count, count_if(own_risk >= 25) AS flagged_count FROM scored WHERE NOT protected GROUP BY ALL",
         "coverage": f"""WITH {SEGMENTS}, s AS (SELECT doc_id, sum({nw('a')}) AS w, count(*) AS n, count(DISTINCT paragraph_index) AS p FROM sents WHERE NOT protected GROUP BY 1)
  SELECT doc_id, t::BIGINT AS total_words, coalesce(w, 0)::BIGINT AS assessed_words, greatest(0, t - coalesce(w, 0))::BIGINT AS excluded_words, coalesce(n, 0)::BIGINT AS assessed_sentences,
  coalesce(p, 0)::BIGINT AS assessed_paragraphs FROM (SELECT doc_id, {nw(asc('text'))} AS t FROM docs) LEFT JOIN s USING (doc_id)""",
@@ -192,7 +193,7 @@ def oracle_sql() -> dict[str, str]:
  b AS (SELECT * FROM ({counts.replace('FROM src', 'FROM b0')}) WHERE n > 0), a AS (SELECT * FROM ({counts.replace('FROM src', 'FROM a0')}) WHERE n > 0)
  SELECT doc_id, key, coalesce(b.n, 0)::INT AS before, coalesce(a.n, 0)::INT AS after, (coalesce(a.n, 0) - coalesce(b.n, 0))::INT AS change FROM b FULL JOIN a USING (doc_id, key)""",
         "illegal_ids_anti": f"""WITH {SEGMENTS}, l AS (SELECT doc_id, paragraph_index, line, core, {asc('core')} AS a, core AS text FROM lines WHERE core <> '')
- SELECT doc_id AS path, paragraph_index AS index FROM l WHERE paragraph_index % 2 = 0 AND ({re.search(r"contains\(text, chr\(9\)\).*(?= AS protected)", SEGMENTS, re.S)[0]})""",
+ SELECT doc_id AS path, paragraph_index AS index FROM l WHERE ({re.search(r"contains\(text, chr\(9\)\).*(?= AS protected)", SEGMENTS, re.S)[0]})""",
         "feature_means_scales": f"WITH {LABELLED} {stats}",
         "gnb_params": f"WITH {LABELLED} {gnb}",
         "drift_shifts": f"WITH {LABELLED} {shifts}",
@@ -217,10 +218,37 @@ def oracle_sql() -> dict[str, str]:
  + CASE WHEN n > 65 THEN 8 WHEN n BETWEEN 1 AND 4 THEN 4 ELSE 0 END + CASE WHEN {marks[';']} >= 2 THEN 12 ELSE 0 END + CASE WHEN {marks[',']} >= 7 THEN 10 ELSE 0 END
  + CASE WHEN {hits('a', r'\b(?:this|these|it)\b')} >= 5 THEN 10 ELSE 0 END + CASE WHEN {hits('a', lx.CERTAINTY)} >= 2 THEN 10 ELSE 0 END
  + CASE WHEN {has('a', lx.UNSUPPORTED)} AND NOT {has('a', lx.CITATION)} THEN 14 ELSE 0 END + CASE WHEN {has('a', lx.VAGUE_TIME_WIDE)} AND NOT {has('a', lx.YEAR)} THEN 10 ELSE 0 END
- + CASE WHEN {percent_bad} > 0 THEN 18 ELSE 0 END + {frames} + CASE WHEN {hits('a', lx.CITATION)} >= 3 THEN 8 ELSE 0 END) ELSE 0 END AS risk FROM c)
+ + CASE WHEN {percent_bad} > 0 THEN 18 ELSE 0 END + {frames} + CASE WHEN {hits('a', lx.CITATION)} >= 3 THEN 8 ELSE 0 END) ELSE 0 END AS risk, section FROM c)
  SELECT doc_id, index, risk::INT AS risk, CASE WHEN protected THEN 'protected' WHEN risk >= 70 THEN 'high' WHEN risk >= 45 THEN 'moderate' WHEN risk >= 25 THEN 'low' ELSE 'natural' END AS band FROM r"""
-    listed = {k: lx.EVIDENCE[k] for k in ("years", "placeholders", "citation_blocks", "emails", "acronyms")}
-    quick["preservation_signature"] = f"WITH {DOCS} SELECT doc_id, " + ", ".join(
-        f"array_to_string(regexp_extract_all({asc('text').replace(chr(39) + '_' + chr(39), chr(39) + 'a' + chr(39)) if k == 'acronyms' else 'text'}, {lit(('' if cased else '(?i)') + p)}), '|') AS {k}" for k, (p, cased) in listed.items()
-    ) + " FROM docs"
+    quick["section_profile"] = quick["contextual_risk"].rsplit(" SELECT doc_id, index, risk::INT", 1)[0] + """ SELECT doc_id, section, count(*) AS segment_count, round(avg(risk), 2) AS mean_signal,
+ count_if(risk >= 45) AS elevated_count, count_if(risk >= 25) AS flagged_count FROM r WHERE NOT protected GROUP BY ALL"""
+    # a digit after a letter starts no number, and a word boundary of RE2 knows only ASCII
+    plain = {
+        "numbers": (f"regexp_replace({asc('text').replace(chr(39) + '_' + chr(39), chr(39) + 'a' + chr(39))}, '([A-Za-z])[0-9]', '\\1#', 'g')", r"(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)(?:%|\b)", True),
+    }
+    word_like = {"acronyms", "years"}
+    columns = []
+    for k, (p, cased) in lx.EVIDENCE.items():
+        column = asc("text").replace(chr(39) + "_" + chr(39), chr(39) + "a" + chr(39)) if k in word_like else "text"
+        column, p, cased = plain.get(k, (column, p, cased))
+        found = f"regexp_extract_all({column}, {lit(('' if cased else '(?i)') + p)})"
+        if k in ("headings", "reference_headings"):
+            found = f"list_transform({found}, lambda h: regexp_replace(h, {STRIP}))"
+        columns.append(f"array_to_string({found}, '|') AS {k}")
+    negation = f"({hits(asc('text'), lx.QUALIFIERS['negation'].replace(NOT_ONLY, ''))} - {hits(asc('text'), NOT_PAIR)})"
+    columns += [f"{negation if k == 'negation' else hits(asc('text'), p)}::INT AS {k}" for k, p in lx.QUALIFIERS.items()]
+    quick["preservation_signature"] = f"WITH {DOCS} SELECT doc_id, {', '.join(columns)} FROM docs"
+    top = sorted(demo.FEATURES, key=lambda k: -abs(demo.WEIGHTS[k]))
+    total = sum(abs(x) for x in demo.WEIGHTS.values())
+    quick["feature_importance"] = " UNION ALL ".join(f"SELECT {lit(k)} AS feature, round({abs(demo.WEIGHTS[k])}e0, 6) AS importance, round({abs(demo.WEIGHTS[k])}e0 / {total}e0, 4) AS share" for k in top)
+    newest = "newest AS (SELECT * FROM lab ORDER BY id DESC LIMIT 1000)"
+    shifted = " UNION ALL ".join(f"SELECT {lit(k)} AS feature, round(abs(avg({k}) - 1e0) / 2e0, 3) AS z FROM newest" for k in demo.FEATURES)
+    quick["drift_status"] = f"""WITH {LABELLED}, {newest}, s AS ({shifted}), d AS (SELECT round(avg(z), 3) AS drift_index, string_agg(feature, ',' ORDER BY z DESC, feature DESC) AS largest FROM s)
+ SELECT drift_index, CASE WHEN drift_index >= 1.25 THEN 'retraining recommended' WHEN drift_index >= 0.75 THEN 'watch' ELSE 'stable' END AS status, largest FROM d"""
+    names = list(demo.FEATURES)
+    scaled = ", ".join(f"({k} - avg({k}) OVER ()) / greatest(1e-6, stddev_pop({k}) OVER ()) AS {k}" for k in names)
+    near = {y: " + ".join(f"pow(z.{k} - (SELECT avg({k}) FROM z WHERE label = {y}), 2)" for k in names) for y in (0, 1)}
+    each = " UNION ALL ".join(f"SELECT label, {lit(k)} AS feature, round(avg({k}), 6) AS centroid FROM z GROUP BY label" for k in names)
+    quick["centroids"] = f"""WITH {LABELLED}, z AS (SELECT label, {scaled} FROM lab), t AS (SELECT round(greatest(0.2e0, avg(abs(({near[0]}) - ({near[1]})))), 6) AS temperature FROM z)
+ SELECT c.*, t.temperature FROM ({each}) c, t"""
     return {k: re.sub(r"(count_if\([^()]*\))", r"\1::BIGINT", v) for k, v in quick.items()}

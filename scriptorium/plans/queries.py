@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import lexicon as lx
@@ -43,11 +43,7 @@ def paragraph_lines(spark, sf):
 
 
 def sentence_stats(spark, sf):
-    n = tx.n_words(F.col("text"))
-    return _segments(spark, sf).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("sentences"), F.sum(n).alias("words"), F.round(F.stddev_pop(n) / F.nullif(F.avg(n), F.lit(0.0)), 6).alias("cv"),
-        F.round(F.percentile(n, F.lit(0.9)), 6).alias("p90"),
-    )
+    return sg.sentence_stats(_segments(spark, sf))
 
 
 def word_counts(spark, sf):
@@ -77,22 +73,19 @@ def segment_families(spark, sf):
 
 
 def repeated_openings(spark, sf):
-    kept = _segments(spark, sf).where("NOT protected").select("doc_id", tx.opening(F.col("text")).alias("opening"))
-    return kept.where("opening <> ''").groupBy("doc_id", "opening").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    return signals.repeated_openings(_segments(spark, sf))
 
 
 def repeated_connectors(spark, sf):
-    name = F.lower(F.regexp_extract(tx.strip(F.col("text")), tx.rx(lx.CONNECTOR), 1))
-    return _segments(spark, sf).where("NOT protected").select(name.alias("connector")).where("connector <> ''").groupBy("connector").agg(F.count(F.lit(1)).alias("n"))
+    return signals.connector_counts(_segments(spark, sf))
 
 
 def repeated_frames(spark, sf):
-    each = _segments(spark, sf).where("NOT protected")
-    return each.groupBy("doc_id").agg(*[F.sum(tx.hits(F.col("text"), rf"\b{f}\b")).alias(f.replace(" ", "_")) for f in lx.FRAMES])
+    return signals.frame_counts(_segments(spark, sf))
 
 
 def section_profile(spark, sf):
-    return signals.section_profile(signals.scored_sentences(_segments(spark, sf)).withColumn("risk", F.col("own_risk")))
+    return signals.section_profile(signals.scored_segments(_segments(spark, sf)))
 
 
 def coverage(spark, sf):
@@ -101,18 +94,11 @@ def coverage(spark, sf):
 
 
 def burstiness_windows(spark, sf):
-    w = Window.partitionBy("doc_id").orderBy("index").rowsBetween(0, 2)
-    n = F.col("n")
-    frames = _segments(spark, sf).where("NOT protected").select("doc_id", "index", tx.n_words(F.col("text")).alias("n"))
-    framed = frames.select("doc_id", F.count(n).over(w).alias("k"), (F.max(n).over(w) - F.min(n).over(w)).alias("spread")).where("k = 3")
-    return framed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("spread") <= 5).alias("tight"))
+    return families.burstiness(_segments(spark, sf))
 
 
 def anaphora_runs(spark, sf):
-    kept = _segments(spark, sf).where("NOT protected").select("doc_id", "index", tx.opening(F.col("text"), 2).alias("start"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("index")) - F.row_number().over(Window.partitionBy("doc_id", "start").orderBy("index"))
-    islands = kept.withColumn("island", place).where("start <> ''").groupBy("doc_id", "start", "island").agg(F.count(F.lit(1)).alias("n"), F.min("index").alias("at"))
-    return islands.where("n >= 2").select("doc_id", "at", "start", "n")
+    return families.anaphora(_segments(spark, sf))
 
 
 def ngram_repetition(spark, sf):
@@ -205,8 +191,8 @@ def reference_features(spark, sf):
 
 def preservation_signature(spark, sf):
     s = preservation.signature(F.col("text"))
-    kept = ("years", "placeholders", "citation_blocks", "emails", "acronyms")
-    return demo.documents(spark, sf).select("doc_id", *[F.array_join(s[k], "|").alias(k) for k in kept])
+    counts = [s["claim_qualifiers"][k].alias(k) for k in lx.QUALIFIERS]
+    return demo.documents(spark, sf).select("doc_id", *[F.array_join(s[k], "|").alias(k) for k in lx.EVIDENCE], *counts)
 
 
 def preservation_gate(spark, sf):
@@ -287,6 +273,21 @@ def drift_shifts(spark, sf):
     return calibration.feature_shifts(demo.labelled(spark, sf), demo.model())
 
 
+def drift_status(spark, sf):
+    rows = demo.labelled(spark, sf).withColumn("created_at", F.col("id"))
+    out = calibration.drift(rows, demo.model(), recent=1000)
+    return out.select("drift_index", "status", F.array_join(F.transform("largest_shifts", lambda x: x["feature"]), ",").alias("largest"))
+
+
+def centroids(spark, sf):
+    out = calibration.centroids(demo.labelled(spark, sf), list(demo.FEATURES))
+    return out.select("label", "feature", F.round("centroid", 6).alias("centroid"), F.round("temperature", 6).alias("temperature"))
+
+
+def feature_importance(spark, sf):
+    return calibration.feature_importance(spark, demo.model())
+
+
 def _corpus(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     scores = F.expr("map('a', cast(doc_id % 101 AS double), 'b', cast(doc_id * 7 % 101 AS double))")
@@ -312,14 +313,12 @@ def detector_counts(spark, sf):
 def illegal_ids_anti(spark, sf):
     lines = sg.lines(demo.documents(spark, sf)).where("paragraph_index IS NOT NULL")
     structure = lines.select(F.col("doc_id").alias("path"), F.col("paragraph_index").alias("index"), F.lit("paragraph").alias("kind"), (~sg.structural(F.col("line"))).alias("editable"))
-    new = lines.where("paragraph_index % 2 = 0").select(F.col("doc_id").alias("path"), F.col("paragraph_index").alias("index"), F.lit("x").alias("text"))
+    new = lines.select(F.col("doc_id").alias("path"), F.col("paragraph_index").alias("index"), F.lit("x").alias("text"))
     return documents.illegal_replacements(new, structure).select("path", "index")
 
 
 def topk_risks(spark, sf):
-    scored = signals.scored_sentences(_segments(spark, sf)).where("own_risk > 0")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("own_risk"), "index"))
-    return scored.withColumn("place", place).where("place <= 4").select("doc_id", "index", "own_risk", "place")
+    return signals.top_risks(signals.scored_sentences(_segments(spark, sf)))
 
 
 def queries() -> dict[str, Query]:
@@ -330,6 +329,6 @@ def queries() -> dict[str, Query]:
         interval_flagged_lines, segment_scores, segment_percentiles, paragraph_units, families_wide, strongest_families, naturalness, fingerprint,
         ai_signal_by_document, feature_vectors, reference_features, preservation_signature, preservation_gate, certificate, batch_packing, rewrite_local,
         rewrite_guided, before_after_map, coloured_html, feature_means_scales, gnb_params, logistic_predict, confusion_metrics, roc_auc_rank,
-        group_metrics, drift_shifts, corpus_status, external_disagreement, detector_counts, illegal_ids_anti, topk_risks,
+        group_metrics, drift_shifts, drift_status, centroids, feature_importance, corpus_status, external_disagreement, detector_counts, illegal_ids_anti, topk_risks,
     ]
     return {f.__name__: f for f in named}
