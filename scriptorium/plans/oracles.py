@@ -124,6 +124,72 @@ def _grams(n: int) -> str:
     return f"list_transform(range(1, greatest(1, len(w) - {n - 2})), lambda i: w[i:i + {n - 1}])"
 
 
+#: Prose paragraphs of a document; as blank lines part them, each stands alone, and counts if it is no title, heading, form or table and has six words.
+UNITS = f"""{SEGMENTS}, para AS (SELECT doc_id, paragraph_index, string_agg(regexp_replace(text, {STRIP}), ' ' ORDER BY sentence_index) AS p FROM sents WHERE NOT protected GROUP BY ALL),
+placed_para AS (SELECT doc_id, p, 2 * (row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index) - 1) AS line_no, regexp_replace(regexp_replace(p, '\\s+', ' ', 'g'), {STRIP}) AS clean FROM para),
+judged_para AS (SELECT *, {asc('clean')} AS a FROM placed_para),
+good AS (SELECT *, NOT (clean = '' OR contains(p, chr(9)) OR contains(p, ' | ') OR {has('a', lx.CAPTION)} OR {has('a', lx.NUMBERED_HEADING, True)} OR {has('a', lx.BARE_HEADING)} OR {has('a', lx.FORM_LABEL)}
+  OR (line_no < 15 AND NOT {has('clean', r'[.!?]$')} AND {nw('a')} <= 30)) AND {nw('a')} >= 6 AS ok FROM judged_para),
+units AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no))::INT AS segment, CASE WHEN any_ok THEN clean ELSE p END AS text
+  FROM (SELECT *, bool_or(ok) OVER (PARTITION BY doc_id) AS any_ok FROM good) WHERE ok OR NOT any_ok)"""
+
+
+def _unit_scores() -> str:
+    """`unit_scores`: doc_id, segment, n_words, peak, mean, structural, ai_signal of every unit."""
+    token = "regexp_replace(t, '^[(),;:]+|[(),;:]+$', '', 'g')"
+    tokens = "list_filter(string_split(clean, ' '), lambda t: t <> '')"
+    numeric = f"len(list_filter({tokens}, lambda t: regexp_matches({token}, {lit(lx.NUMERIC_TOKEN)})))"
+    rhythm = "CASE WHEN n >= 3 AND cv < 0.22e0 THEN 14 WHEN n >= 3 AND cv < 0.32e0 THEN 7 ELSE 0 END"
+    return f"""{UNITS}, usplit AS (SELECT doc_id, segment, text AS unit, unnest(string_split(regexp_replace(regexp_replace(text, {STRIP}), '([.!?]\\s+)([A-Z\\[]|\\*\\*)', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS raw FROM units),
+uclean AS (SELECT doc_id, segment, unit, regexp_replace(raw, {STRIP}) AS s, regexp_replace(regexp_replace(raw, '\\s+', ' ', 'g'), {STRIP}) AS clean FROM usplit),
+usents AS (SELECT *, {asc('s')} AS a, {asc('clean')} AS c FROM uclean WHERE s <> ''),
+uprose AS (SELECT *, {nw('c')} >= 6 AND NOT {has('c', lx.CAPTION_STRICT)} AND NOT {has('c', lx.NUMBERED_TITLE, True)} AND NOT {has('c', lx.FORM_START)}
+  AND NOT ({numeric} / greatest(1, len({tokens}))::DOUBLE >= 0.45e0) AS prose FROM usents),
+ukept AS (SELECT * FROM (SELECT *, bool_or(prose) OVER (PARTITION BY doc_id, segment) AS any_prose FROM uprose) WHERE prose OR NOT any_prose),
+urisk AS (SELECT *, ({OWN_RISK})::INT AS own_risk, {nw('a')} AS n, {opening('a', 2)} AS o FROM (SELECT *, {_VOCABULARY} AS v, {_HEDGES} AS h FROM ukept)),
+ugroup AS (SELECT doc_id, segment, any_value(unit) AS unit, count(*) AS n, max(own_risk) AS peak, avg(own_risk) AS mean, min(n) AS least, max(n) AS most, avg(n) AS n_mean, stddev_pop(n) AS n_sd,
+  count_if(o <> '') AS starts, count(DISTINCT nullif(o, '')) AS different, count_if({has('a', lx.REPORT_OPENING)}) AS reports FROM urisk GROUP BY doc_id, segment),
+ucv AS (SELECT *, CASE WHEN n >= 2 AND n_mean > 0 THEN n_sd / n_mean ELSE 0e0 END AS cv FROM ugroup),
+ustruct AS (SELECT *, {rhythm} + CASE WHEN n >= 4 AND least >= 12 AND most <= 38 THEN 6 ELSE 0 END
+  + CASE WHEN starts >= 3 AND different <= greatest(1, floor(starts / 2)) THEN 8 ELSE 0 END + CASE WHEN reports >= 2 THEN 8 ELSE 0 END AS structural FROM ucv),
+unit_scores AS (SELECT doc_id, segment, {nw(asc('unit'))}::INT AS n_words, peak, round(mean, 4) AS mean, structural,
+  least(100, round_even(peak * 0.45e0 + mean * 0.35e0 + least(35, structural) * 0.20e0, 0))::INT AS ai_signal FROM ustruct)"""
+
+
+def _evidence(text: str) -> dict[str, str]:
+    """For each kind of evidence, the list of a text's pieces; for each claim qualifier, its count."""
+    # a digit after a letter starts no number, and a word boundary of RE2 knows only ASCII
+    letters = asc(text).replace("'_'", "'a'")
+    number = (f"regexp_replace({letters}, '([A-Za-z])[0-9]', '\\1#', 'g')", r"(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)(?:%|\b)", True)
+    out = {}
+    for k, (p, cased) in lx.EVIDENCE.items():
+        column, p, cased = number if k == "numbers" else (letters if k in ("acronyms", "years") else text, p, cased)
+        found = f"regexp_extract_all({column}, {lit(('' if cased else '(?i)') + p)})"
+        out[k] = f"list_transform({found}, lambda h: regexp_replace(h, {STRIP}))" if k in ("headings", "reference_headings") else found
+    negation = f"({hits(asc(text), lx.QUALIFIERS['negation'].replace(NOT_ONLY, ''))} - {hits(asc(text), NOT_PAIR)})"
+    return out | {k: f"{negation if k == 'negation' else hits(asc(text), p)}::INT" for k, p in lx.QUALIFIERS.items()}
+
+
+def _reference_features() -> str:
+    def mean(x: str) -> str:
+        return f"list_avg({x})"
+
+    def deviation(x: str) -> str:
+        return f"sqrt(list_avg(list_transform({x}, lambda y: pow(y - {mean(x)}, 2))))"
+
+    def quantile(q: float) -> str:
+        return f"round(list_aggregate(s, 'quantile_cont', {q}), 4)"
+
+    steps = "list_transform(range(2, len({0}) + 1), lambda i: {0}[i] - {0}[i - 1])"
+    return f"""WITH a AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: abs(x)::DOUBLE * 10) AS s FROM embeddings WHERE len(embedding) >= 3),
+ b AS (SELECT *, {steps.format('s')} AS d1 FROM a), c AS (SELECT *, {steps.format('d1')} AS d2 FROM b),
+ d AS (SELECT *, list_avg(list_transform(d2, lambda x: abs(x))) AS size FROM c), e AS (SELECT *, len(list_filter(d2, lambda x: abs(x) <= greatest(0.25e0, size * 0.5e0))) / len(d2)::DOUBLE AS regular FROM d)
+ SELECT doc_id, round(exp(least(20e0, {mean('s')})), 4) AS perplexity, round({mean('s')}, 4) AS surprisal_mean, round({deviation('s')}, 4) AS surprisal_std,
+ {quantile(0.1)} AS surprisal_p10, {quantile(0.5)} AS surprisal_p50, {quantile(0.9)} AS surprisal_p90, round(len(list_filter(s, lambda x: x <= 1.5e0)) / len(s)::DOUBLE, 4) AS low_surprisal_share,
+ list_max(list_transform(string_split(array_to_string(list_transform(s, lambda x: CASE WHEN x <= 1.5e0 THEN '1' ELSE '0' END), ''), '0'), lambda r: length(r)))::INT AS longest_low_run,
+ round(size, 4) AS curvature_abs_mean, round({deviation('d2')}, 4) AS curvature_std, round(regular, 4) AS curvature_regular_share, round_even(regular * 100, 0)::INT AS curvature_pct FROM e"""
+
+
 def oracle_sql() -> dict[str, str]:
     kept = f"WITH {SEGMENTS} SELECT"
     scored = f"WITH {SCORED} SELECT"
@@ -222,22 +288,37 @@ def oracle_sql() -> dict[str, str]:
  SELECT doc_id, index, risk::INT AS risk, CASE WHEN protected THEN 'protected' WHEN risk >= 70 THEN 'high' WHEN risk >= 45 THEN 'moderate' WHEN risk >= 25 THEN 'low' ELSE 'natural' END AS band FROM r"""
     quick["section_profile"] = quick["contextual_risk"].rsplit(" SELECT doc_id, index, risk::INT", 1)[0] + """ SELECT doc_id, section, count(*) AS segment_count, round(avg(risk), 2) AS mean_signal,
  count_if(risk >= 45) AS elevated_count, count_if(risk >= 25) AS flagged_count FROM r WHERE NOT protected GROUP BY ALL"""
-    # a digit after a letter starts no number, and a word boundary of RE2 knows only ASCII
-    plain = {
-        "numbers": (f"regexp_replace({asc('text').replace(chr(39) + '_' + chr(39), chr(39) + 'a' + chr(39))}, '([A-Za-z])[0-9]', '\\1#', 'g')", r"(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)(?:%|\b)", True),
-    }
-    word_like = {"acronyms", "years"}
-    columns = []
-    for k, (p, cased) in lx.EVIDENCE.items():
-        column = asc("text").replace(chr(39) + "_" + chr(39), chr(39) + "a" + chr(39)) if k in word_like else "text"
-        column, p, cased = plain.get(k, (column, p, cased))
-        found = f"regexp_extract_all({column}, {lit(('' if cased else '(?i)') + p)})"
-        if k in ("headings", "reference_headings"):
-            found = f"list_transform({found}, lambda h: regexp_replace(h, {STRIP}))"
-        columns.append(f"array_to_string({found}, '|') AS {k}")
-    negation = f"({hits(asc('text'), lx.QUALIFIERS['negation'].replace(NOT_ONLY, ''))} - {hits(asc('text'), NOT_PAIR)})"
-    columns += [f"{negation if k == 'negation' else hits(asc('text'), p)}::INT AS {k}" for k, p in lx.QUALIFIERS.items()]
-    quick["preservation_signature"] = f"WITH {DOCS} SELECT doc_id, {', '.join(columns)} FROM docs"
+    pieces = _evidence("text")
+    quick["preservation_signature"] = f"WITH {DOCS} SELECT doc_id, " + ", ".join(f"array_to_string({v}, '|') AS {k}" if k in lx.EVIDENCE else f"{v} AS {k}" for k, v in pieces.items()) + " FROM docs"
+    signed = ", ".join(f"{v} AS {k}, {w} AS other_{k}" for (k, v), w in zip(pieces.items(), _evidence("other").values(), strict=True))
+    both = f"WITH {DOCS}, pair AS (SELECT doc_id, text, replace(text, '2021', '2022') AS other FROM docs), signed AS (SELECT doc_id, text, other, {signed} FROM pair)"
+    differ = {k: f"{k} IS DISTINCT FROM other_{k}" for k in pieces}
+    claims = "(" + " OR ".join(differ[k] for k in lx.QUALIFIERS) + ")"
+    issues = ", ".join([*(f"CASE WHEN {differ[k]} THEN '{k} changed' END" for k in lx.EVIDENCE), f"CASE WHEN {claims} THEN 'claim_qualifiers changed' END"])
+    quick["preservation_gate"] = f"{both} SELECT doc_id, len(i) = 0 AS valid, array_to_string(i, '|') AS issues FROM (SELECT doc_id, list_filter([{issues}], lambda x: x IS NOT NULL) AS i FROM signed)"
+
+    def same(*keys: str) -> str:
+        return "NOT (" + " OR ".join(differ[k] for k in keys) + ")"
+
+    def tail(x: str) -> str:
+        lines = f"string_split({x}, chr(10))"
+        at = f"list_position(list_transform({lines}, lambda l: {has('regexp_replace(l, ' + STRIP + ')', lx.REFERENCE_HEADING)}), true)"
+        return f"CASE WHEN {at} > 0 THEN regexp_replace(array_to_string({lines}[{at}:], chr(10)), {STRIP}) ELSE '' END"
+
+    checks = {
+        "numbers": same("numbers"), "citations": same("citation_blocks"), "urls": same("urls"), "emails": same("emails"), "headings": same("headings"),
+        "tables": same("table_lines", "tabular_lines"), "equations": same("display_equations", "equationish"), "references": f"{tail('text')} = {tail('other')}",
+        "placeholders": same("placeholders"), "acronyms": same("acronyms"), "claim_qualifiers": f"NOT {claims}", "user_terms": "true",
+    }
+    named = ", ".join(f'{v} AS "{k}"' for k, v in checks.items())
+    quick["certificate"] = f"{both}, c AS (SELECT doc_id, {named} FROM signed) SELECT *, {' AND '.join(f'"{k}"' for k in checks)} AS passed, 0.0::DOUBLE AS changed_word_ratio FROM c"
+    quick["paragraph_units"] = f"WITH {UNITS} SELECT doc_id, segment, text FROM units"
+    level = "CASE WHEN ai_signal < 20 THEN 'Minimal' WHEN ai_signal < 40 THEN 'Low' WHEN ai_signal < 60 THEN 'Moderate' WHEN ai_signal < 80 THEN 'Elevated' ELSE 'Strong' END || ' AI-style signal'"
+    quick["segment_scores"] = f"WITH {_unit_scores()} SELECT *, {level} AS label FROM unit_scores"
+    quick["segment_percentiles"] = f"""WITH {_unit_scores()}, q AS (SELECT doc_id, count(*) AS segment_count, round_even(avg(ai_signal), 0)::INT AS segment_mean, round_even(quantile_cont(ai_signal, 0.75), 0)::INT AS segment_p75,
+ round_even(quantile_cont(ai_signal, 0.9), 0)::INT AS segment_p90, count_if(ai_signal >= 20) AS flagged_segments FROM unit_scores GROUP BY doc_id)
+ SELECT *, greatest(0, least(100, round_even(segment_mean * 0.30e0 + segment_p75 * 0.30e0 + segment_p90 * 0.40e0, 0)))::INT AS segment_pct FROM q"""
+    quick["reference_features"] = _reference_features()
     top = sorted(demo.FEATURES, key=lambda k: -abs(demo.WEIGHTS[k]))
     total = sum(abs(x) for x in demo.WEIGHTS.values())
     quick["feature_importance"] = " UNION ALL ".join(f"SELECT {lit(k)} AS feature, round({abs(demo.WEIGHTS[k])}e0, 6) AS importance, round({abs(demo.WEIGHTS[k])}e0 / {total}e0, 4) AS share" for k in top)
