@@ -185,9 +185,9 @@ def run_links(members: DataFrame, reps: DataFrame, least_share: float) -> DataFr
         n = len(g)
         if n < 2:
             return None
-        g = g.sort_values(["f_ord", "f_c1"], ignore_index=True)
-        sig = np.frombuffer(b"".join(g["bytes"]), np.uint8).reshape(n, -1)
-        o, c = g["f_ord"].to_numpy(), g["f_c1"].to_numpy()
+        order = np.lexsort((g["f_c1"].to_numpy(), g["f_ord"].to_numpy()))
+        sig = np.frombuffer(b"".join(g["bytes"]), np.uint8).reshape(n, -1)[order]
+        o, c = g["f_ord"].to_numpy()[order], g["f_c1"].to_numpy()[order]
         own = np.concatenate([[0], np.cumsum((o[1:] != o[:-1]) | (c[1:] != c[:-1]))])  # the smallest component comes first
         first = np.searchsorted(own, np.arange(own[-1] + 1))
         waiting, links, todo = np.arange(n), [], []
