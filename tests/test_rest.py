@@ -156,3 +156,16 @@ def test_masks_do_not_run_out():
     marks = [edits.private(i) for i in (0, 6399, 6400, 6400 + edits.PLANE - 1, 6400 + edits.PLANE, 200_000)]
     masked.kept = {m: f"<{i}>" for i, m in enumerate(marks)}
     assert masked.restored("".join(marks)) == "<0><1><2><3><4><5>"
+
+
+def test_marks_are_not_in_the_text():
+    text = "The \ue000 sign costs 42 and \U000f0000 costs 43 in NASA."
+    masked = edits.Masked(text, ["sign"])
+    assert "42" not in masked.text and masked.restored(masked.text) == text
+    assert edits.Masked("a1 " * 3 + "\ue000\ue001", []).restored("\ue000\ue001") == "\ue000\ue001"
+
+
+def test_batches_of_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "one two."), (None, "three."), (1, "a b."), (1, "a b."), (2, None), (3, "")], "doc_id long, text string")
+    got = batches.batches(df).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, "one two."), (0, "three."), (1, "a b."), (1, "a b.")]
