@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import lexicon as lx
 from scriptorium.functions import text as tx
-from scriptorium.operators import families, paragraphs, signals, style
+from scriptorium.operators import calibration, families, paragraphs, signals, style
 from scriptorium.operators import segments as seg
 from scriptorium.sources.scratch import stored
 
@@ -34,6 +34,11 @@ def ensemble(layers: dict[str, float], values: dict[str, Column] | None = None)
     return F.greatest(F.lit(0), F.least(F.lit(100), base + F.when(high >= 3, 8).when(high >= 2, 4).otherwise(0)))
 
 
+def composite(category: Column, segment: Column, lexical: Column, consistency: Column) -> Column:
+    """The percentage by itself, before any fingerprint: 30 % categories, 40 % segments, 20 % lexical, 10 % consistency; 0 to 100."""
+    return tx.percent(category * 0.30 + segment * 0.40 + lexical * 0.20 + consistency * 0.10)
+
+
 def decision(signal: Column, layers: list[Column], words: Column, sentences: Column) -> Column:
     """"Indeterminate" near the middle, where layers are 50 apart, and under 80 words or three sentences."""
     spread = F.greatest(*layers) - F.least(*layers)
@@ -54,10 +59,14 @@ def _sections(profile: DataFrame) -> DataFrame:
     return wide.withColumn("section_score_spread", spread).drop("sections", "most", "least").na.fill(0.0)
 
 
-def document_scores(docs: DataFrame, as_of_year: int, reference_lm: DataFrame | None = None, private: bool = False) -> DataFrame:
+def document_scores(
+    docs: DataFrame, as_of_year: int, reference_lm: DataFrame | None = None, private: bool = False, model: dict | None = None
+) -> DataFrame:
     """One row per document with prose: doc_id, ai_signal, human_like, level, decision_status, confidence, layers, coverage.
 
-    With `private` also naturalness, families, and the features for calibration.  Documents
+    With a calibrated `model` (of `calibration`, made for FEATURES) its percentage is the signal in
+    place of the weighted layers, which stay as fallback_signal.  With `private` also naturalness,
+    families, the features for calibration, composite_pct, fallback_signal and score_source.  Documents
     without prose (null and empty texts too) get a signal of 0 and "Indeterminate".
     reference_lm(doc_id, the reference features, curvature_pct) is optional; without it those features are 0.
     """
@@ -83,7 +92,8 @@ def document_scores(docs: DataFrame, as_of_year: int, reference_lm: DataFrame |
     if reference_lm is not None:
         layers = LAYERS_WITH_CURVATURE
         joined = joined.join(reference_lm, "doc_id", "left")
-    joined = joined.na.fill(0).na.fill({"confidence": "Low", "verdict": "Human"}).withColumn("ai_signal", ensemble(layers))
+    joined = joined.na.fill(0).na.fill({"confidence": "Low", "verdict": "Human"}).withColumn("fallback_signal", ensemble(layers))
+    joined = _with_signal(joined, model, reference_lm is not None)
     status = decision(F.col("ai_signal"), [F.col(k) for k in layers], F.col("assessed_words"), F.col("assessed_sentences"))
     short = (F.col("assessed_words") < 80) | (F.col("assessed_sentences") < 3)
     out = joined.withColumn("decision_status", status).withColumns(
@@ -99,7 +109,20 @@ def document_scores(docs: DataFrame, as_of_year: int, reference_lm: DataFrame |
         "doc_id", "ai_signal", "human_like", "level", "decision_status", "confidence", *layers, "lexical_pct", "total_words", "assessed_words",
         "excluded_words", "assessed_sentences", "assessed_paragraphs", "segment_count",
     ]
-    return out.select(*public) if not private else out.select(*public, "naturalness_score", *lx.FAMILY_WEIGHTS, "J", "verdict", *features_of(out, reference_lm is not None))
+    if not private:
+        return out.select(*public)
+    whole = composite(*[F.col(k) for k in ("category_pct", "segment_pct", "lexical_pct", "consistency_pct")]).alias("composite_pct")
+    scored = [*public, "naturalness_score", *lx.FAMILY_WEIGHTS, "J", "verdict", whole, "fallback_signal", "score_source"]
+    return out.select(*scored, *features_of(out, reference_lm is not None))
+
+
+def _with_signal(rows: DataFrame, model: dict | None, with_reference: bool) -> DataFrame:
+    """`rows` with ai_signal and score_source: of the model where there is one, else of the layers."""
+    if model is None:
+        return rows.withColumns({"ai_signal": F.col("fallback_signal"), "score_source": F.lit("ensemble")})
+    features = [x for k, x in zip([k for k in FEATURES if k != "statistical_pct"], features_of(rows, with_reference), strict=True) if k not in rows.columns]
+    judged = calibration.predicted(rows.select("*", *features), model)
+    return judged.select(*rows.columns, F.col("percentage").cast("int").alias("ai_signal"), F.lit("calibrated").alias("score_source"))
 
 
 def features_of(scores: DataFrame, with_reference: bool) -> list[Column]:

@@ -14,9 +14,11 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from scriptorium.functions import lexicon as lx
 from scriptorium.functions import text as tx
+from scriptorium.operators import batches as batching
 from scriptorium.operators import edits, preservation, style
 from scriptorium.sources.scratch import stored
 
@@ -153,11 +155,8 @@ def rewritten_guided(docs: DataFrame, scores: DataFrame, segments: DataFrame, mo
     return chosen(sources, made.select("rid", "c.level", "c.candidate"), never_worse=False)
 
 
-def rewritten_by(batches: DataFrame, model: Callable[[str], str], retries: int = 2, terms: list[str] | None = None, limit: float = 0.18) -> DataFrame:
-    """Editing of batches(doc_id, batch, text, protected) by any callable, each behind the gate; the source stays where it fails.
-
-    The callable runs on the executors and must be idempotent, as tasks may be retried.
-    """
+def _asked(model: Callable[[str], str], retries: int) -> Callable:
+    """A UDF of the model's answer, or of its last error after `retries` (0 to 3) more attempts."""
 
     @F.pandas_udf("struct<candidate: string, error: string>")
     def run(text: pd.Series) -> pd.DataFrame:
@@ -174,16 +173,95 @@ def rewritten_by(batches: DataFrame, model: Callable[[str], str], retries: int =
                 rows.append((None, error))
         return pd.DataFrame(rows, columns=["candidate", "error"])
 
+    return run
+
+
+def _report(rows: DataFrame, text: str, mode: str) -> DataFrame:
+    """rid, score, wanted of the texts of rows(rid, ...); stored, as a filter on `wanted` must not carry the whole report into its condition."""
+    report = style.style_report(rows.select(F.col("rid").alias("doc_id"), F.col(text).alias("text")))
+    return stored(report.select(F.col("doc_id").alias("rid"), F.col("naturalness_score").alias("score"), style.needs_edit(mode).alias("wanted")))
+
+
+def _judged(made: DataFrame, limit: Column | float, terms: list[str] | None) -> DataFrame:
+    """made(rid, text, candidate, score_before, ...) with issues, score_after and accepted: evidence kept, and no less natural."""
     keep = F.array(*map(F.lit, terms or [])).cast("array<string>")
-    made = batches.withColumn("r", F.when(~F.col("protected"), run("text")))
-    judged = made.withColumn("issues", F.when(F.col("r.candidate").isNotNull(), preservation.broken(F.col("text"), F.col("r.candidate"), limit, keep)))
-    ok = F.col("issues").isNotNull() & (F.size("issues") == 0)
-    return judged.select(
-        *batches.columns, F.when(ok, F.col("r.candidate")).otherwise(F.col("text")).alias("revised"), F.coalesce(ok, F.lit(False)).alias("accepted"),
-        F.col("issues"), F.col("r.error").alias("error"),
+    gated = stored(made.withColumn("issues", F.when(F.col("candidate").isNotNull(), preservation.broken(F.col("text"), F.col("candidate"), limit, keep))))
+    after = _report(gated.where("candidate IS NOT NULL"), "candidate", "deep").select("rid", F.col("score").alias("score_after"))
+    ok = F.col("candidate").isNotNull() & (F.size("issues") == 0) & (F.col("score_after") >= F.col("score_before"))
+    return gated.join(after, "rid", "left").withColumn("accepted", F.coalesce(ok, F.lit(False)))
+
+
+def rewritten_by(
+    batches: DataFrame, model: Callable[[str], str], retries: int = 2, terms: list[str] | None = None, limit: float = 0.18, mode: str = "deep"
+) -> DataFrame:
+    """Editing of batches(doc_id, batch, text, protected, ...) by any callable; the source stays where it fails, breaks evidence or reads worse.
+
+    Adds revised, accepted, issues, error, score_before and score_after.  The callable sees only
+    batches that are not protected and, but in "deep" mode, have an issue that it can mend.  It
+    runs on the executors and must be idempotent, as tasks may be retried.
+    """
+    rows = stored(batches.withColumn("rid", F.monotonically_increasing_id()))
+    before = _report(rows, "text", mode).withColumnRenamed("score", "score_before")
+    wanted = rows.where("NOT protected").join(before.where("wanted").drop("wanted"), "rid")
+    made = wanted.select("rid", "text", "score_before", _asked(model, retries)("text").alias("r")).select("*", "r.candidate", "r.error").drop("r")
+    judged = _judged(stored(made), limit, terms).drop("text", "score_before")
+    out = rows.join(before.drop("wanted"), "rid").join(judged, "rid", "left")
+    ok = F.coalesce("accepted", F.lit(False))
+    return out.select(
+        *batches.columns, F.when(ok, F.col("candidate")).otherwise(F.col("text")).alias("revised"), ok.alias("accepted"), "issues", "error",
+        "score_before", F.when(ok, F.col("score_after")).otherwise(F.col("score_before")).alias("score_after"),
     )
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _groups(words: pd.Series, most: pd.Series) -> pd.Series:
+    def of(counts: list[int], limit: int) -> list[int]:
+        out, group, held = [], 0, 0
+        for n in counts:
+            if held and held + n > limit:
+                group, held = group + 1, 0
+            out.append(group)
+            held += n
+        return out
+
+    return pd.Series([of(w, m) for w, m in zip(words, most, strict=True)])
+
+
+def rewritten_paragraphs(
+    paragraphs: DataFrame, model: Callable[[str], str], mode: str = "balanced", retries: int = 2, terms: list[str] | None = None,
+    limit: float = 0.18, most: int = 4200,
+) -> DataFrame:
+    """doc_id, index, text, revised, accepted, issues, error of paragraphs(doc_id, index, text), an index once in a document.
+
+    Paragraphs that call for an edit are sent in groups of up to `most` words (2500 to 5000) of one
+    document, between markers.  A group whose answer has other markers fails as a whole; else
+    each paragraph passes or keeps its text by itself.  Null texts are empty.
+    """
+    rows = paragraphs.select("doc_id", F.col("index").cast("int").alias("index"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()))
+    words = F.greatest(F.lit(1), F.size(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")))
+    wanted = rows.join(_report(rows, "text", mode).withColumnRenamed("score", "score_before"), "rid").where("wanted").drop("wanted")
+    wanted = stored(wanted.withColumn("n", words))
+    members = wanted.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("index", "rid", "n"))).alias("x"))
+    numbers = _groups(F.transform("x", lambda p: p["n"]), F.lit(max(2500, min(5000, most))))
+    placed = members.select(F.element_at("x", 1)["rid"].alias("first"), F.inline(F.arrays_zip("x", numbers.alias("group"))))
+    keys = placed.select(F.concat_ws(":", "first", "group").alias("key"), "x.rid")
+    grouped = stored(wanted.join(keys, "rid"))
+    keyed = grouped.select(F.col("key").alias("doc_id"), "index", tx.strip(F.col("text")).alias("text"))
+    answers = stored(batching.marked(keyed).select("doc_id", _asked(model, retries)("prompt").alias("r")))
+    texts = batching.unmarked(answers.select("doc_id", F.col("r.candidate").alias("prompt")), keyed.select("doc_id", "index"))
+    made = (
+        grouped.join(texts.select(F.col("doc_id").alias("key"), "index", F.col("text").alias("candidate")), ["key", "index"], "left")
+        .join(answers.select(F.col("doc_id").alias("key"), F.col("r.error").alias("error")), "key", "left")
+        .withColumn("error", F.coalesce("error", F.when(F.col("candidate").isNull(), F.lit("the markers of the answer differ"))))
+    )
+    loose = F.when(F.col("n") < 120, F.greatest(F.lit(limit), F.lit(0.35))).otherwise(F.lit(limit))
+    judged = _judged(made.select("rid", "text", "candidate", "error", "score_before", loose.alias("loose")), F.col("loose"), terms)
+    out = rows.join(judged.select("rid", "candidate", "accepted", "issues", "error"), "rid", "left")
+    ok = F.coalesce("accepted", F.lit(False))
+    return out.select("doc_id", "index", "text", F.when(ok, F.col("candidate")).otherwise(F.col("text")).alias("revised"), ok.alias("accepted"), "issues", "error")
+
+
 def before_after(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """doc_id, key, before, after, change: a full outer map of two long tables; what one lacks is 0."""
     a = before.select("doc_id", key, F.col(value).alias("before"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import lexicon as lx
@@ -27,6 +27,27 @@ class Variation:
     def moderate() -> Variation:
         return Variation(0.56, 0.38, 0.30, 0.06, 0.09, 0.10)
 
+    @staticmethod
+    def configured(spark: SparkSession) -> Variation:
+        """By the settings scriptorium.variation.lexical and .rhythm ("moderate" or "high", which is also what others mean) and .word_change.
+
+        Unless it is set, the limit of changed words is the high one where either level is high.
+        """
+        high = {k: (spark.conf.get(f"scriptorium.variation.{k}", "high") or "").strip().lower() != "moderate" for k in ("lexical", "rhythm")}
+        of = {k: Variation() if v else Variation.moderate() for k, v in high.items()}
+        words = Variation() if any(high.values()) else Variation.moderate()
+        change = float(spark.conf.get("scriptorium.variation.word_change", "") or words.word_change)
+        return replace(of["rhythm"], lexical=of["lexical"].lexical, word_change=change)
+
+
+def needs_edit(mode: str) -> Column:
+    """Whether a text of a style_report calls for an editor: all do in "deep" mode, else those with an issue that an editor can mend."""
+    issues = (
+        "generic_phrase_hits", "repeated_sentence_openings", "repeated_paragraph_openings", "long_sentence_count", "overloaded_sentence_count",
+        "repeated_frame_density",
+    )
+    return F.lit(True) if mode == "deep" else (F.greatest(*map(F.col, issues)) > 0) | (F.col("generic_connector_hits") > 2)
+
 
 def protected_line(line: Column) -> Column:
     """Whether a rewriter leaves a line as it is."""

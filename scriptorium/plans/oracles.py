@@ -267,6 +267,11 @@ def oracle_sql() -> dict[str, str]:
         "confusion_metrics": f"WITH {JUDGED} SELECT * EXCLUDE (k) FROM ({_metrics('1')})",
         "roc_auc_rank": f"WITH {JUDGED.replace('SELECT doc_id AS id', 'SELECT 1 AS one, doc_id AS id')} SELECT roc_auc FROM ({_auc('x.one')})",
         "group_metrics": f"WITH {JUDGED} SELECT k AS source, * EXCLUDE (k) FROM ({_metrics('source')}) JOIN ({_auc('x.source')}) USING (k) WHERE tp + tn + fp + fn >= 4 AND tp + fn > 0 AND tn + fp > 0",
+        "evaluation": f"WITH {JUDGED} " + " UNION ALL ".join(
+            f"SELECT '{g}' AS grouping, k AS value, * EXCLUDE (k) FROM ({_metrics(g)}) JOIN ({_auc('x.' + g)}) USING (k) WHERE tp + tn + fp + fn >= 4 AND tp + fn > 0 AND tn + fp > 0"
+            for g in ("lang", "source")
+        )
+        + f" UNION ALL SELECT 'all', 'all', m.* EXCLUDE (k), a.roc_auc FROM ({_metrics('1')}) m, ({_auc('1')}) a",
         "corpus_status": f"WITH {_corpus()} " + " UNION ALL ".join([f"SELECT {lit(g)} AS grouping, {g} AS value, count(*) AS n, count_if(label = 0) AS label_0, count_if(label = 1) AS label_1 FROM corpus GROUP BY {g}" for g in groups] + ["SELECT 'all', 'all', count(*), count_if(label = 0), count_if(label = 1) FROM corpus"]),
         "external_disagreement": f"WITH {_corpus()} SELECT count(*) AS n_multiple, round(avg(abs(a - b)), 2) AS mean_range, round(median(abs(a - b)), 2) AS median_range FROM corpus WHERE doc_id % 4 > 0",
         "detector_counts": f"WITH {_corpus()} SELECT 'a' AS detector, count(*) AS n FROM corpus UNION ALL SELECT 'b', count(*) FROM corpus WHERE doc_id % 4 > 0",

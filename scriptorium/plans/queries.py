@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import lexicon as lx
 from scriptorium.functions import text as tx
-from scriptorium.operators import batches, calibration, ensemble, families, paragraphs, preservation, rewrite, signals, style
+from scriptorium.operators import batches, calibration, ensemble, families, paragraphs, preservation, rewrite, signals, style, training, workflow
 from scriptorium.operators import segments as sg
 from scriptorium.plans import demo
 from scriptorium.sources import corpus, documents
@@ -269,6 +269,32 @@ def group_metrics(spark, sf):
     return calibration.group_metrics(_judged(spark, sf), "source")
 
 
+def evaluation(spark, sf):
+    model = demo.model() | {"decision_threshold": 0.5}
+    return training.evaluated(demo.labelled(spark, sf), model, ("lang", "source"))
+
+
+def needs_edit(spark, sf):
+    return style.style_report(demo.documents(spark, sf)).select("doc_id", style.needs_edit("balanced").alias("needs_edit"))
+
+
+def calibrated_signal(spark, sf):
+    names = ["statistical_pct", "paragraph_pct", "regularity_pct", "forensic_pct"]
+    model = {"model_type": "logistic", "feature_names": names, "means": dict.fromkeys(names, 30.0), "scales": dict.fromkeys(names, 20.0), "weights": dict.fromkeys(names, 0.5), "bias": 0.0}
+    scores = ensemble.document_scores(demo.documents(spark, sf), YEAR, private=True, model=model)
+    return scores.select("doc_id", "ai_signal", "fallback_signal", "composite_pct", "score_source", "decision_status")
+
+
+def edited_documents(spark, sf):
+    out = workflow.edited_documents(demo.documents(spark, sf), YEAR, "local")
+    return out.select("doc_id", "text", "actual_editor", "changed", "naturalness_before", "naturalness_after", "signal_before", "signal_after", F.col("certificate.passed").alias("passed"))
+
+
+def robustness(spark, sf):
+    out = workflow.robustness(demo.documents(spark, sf), YEAR)
+    return out.select("doc_id", "before", "local_changed", "local_after", "guided_changed", "guided_after")
+
+
 def drift_shifts(spark, sf):
     return calibration.feature_shifts(demo.labelled(spark, sf), demo.model())
 
@@ -330,5 +356,6 @@ def queries() -> dict[str, Query]:
         ai_signal_by_document, feature_vectors, reference_features, preservation_signature, preservation_gate, certificate, batch_packing, rewrite_local,
         rewrite_guided, before_after_map, coloured_html, feature_means_scales, gnb_params, logistic_predict, confusion_metrics, roc_auc_rank,
         group_metrics, drift_shifts, drift_status, centroids, feature_importance, corpus_status, external_disagreement, detector_counts, illegal_ids_anti, topk_risks,
+        evaluation, needs_edit, calibrated_signal, edited_documents, robustness,
     ]
     return {f.__name__: f for f in named}
