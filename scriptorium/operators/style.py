@@ -51,36 +51,40 @@ def needs_edit(mode: str) -> Column:
 
 def protected_line(line: Column) -> Column:
     """Whether a rewriter leaves a line as it is."""
-    v = tx.strip(line)
-    n = F.size(F.split(v, r"(?U)\s+"))
     cased = r"[\p{Lu}\p{Ll}\p{Lt}]"
-    upper = v.rlike(r"\p{Lu}") & ~v.rlike(r"[\p{Ll}\p{Lt}]")
-    titled = v.rlike(cased) & ~v.rlike(rf"{cased}[\p{{Lu}}\p{{Lt}}]") & ~v.rlike(rf"(?<!{cased})\p{{Ll}}")
-    return (
-        (v == "") | line.contains("\t") | line.contains(" | ")
-        | tx.has(v, lx.HEADING_LINE) | tx.has(v, lx.REFERENCE_HEADING) | tx.has(v, lx.FIGURE_LINE) | tx.has(v, lx.FORM_LINE)
-        | v.startswith("#") | v.startswith("|") | tx.has(v, r"^CHAPTER\s+(?:\d+|[A-Z]+)$") | tx.has(v, r"^\|?\s*:?-{3,}")
-        | tx.has(v, r"^(?:[-*+•]\s+|\d+[.)]\s+)") | v.contains("```") | v.contains("$$")
-        | (tx.has(v, lx.EMAIL) & (n <= 16)) | (tx.has(v, lx.EQUATION) & (n <= 22)) | ((n <= 14) & upper)
-        | ((n <= 14) & ~tx.has(v, r"[.!?]$") & (titled | tx.has(v, lx.INSTITUTION)))
-    )
+
+    def of(v: Column, n: Column, low: Column) -> Column:
+        upper = ~v.rlike(r"[\p{Ll}\p{Lt}]") & v.rlike(r"\p{Lu}")
+        titled = ~v.rlike(rf"(?<!{cased})\p{{Ll}}") & v.rlike(cased) & ~v.rlike(rf"{cased}[\p{{Lu}}\p{{Lt}}]")
+        return (
+            (v == "") | line.contains("\t") | line.contains(" | ")
+            | tx.has(v, lx.HEADING_LINE) | tx.has(v, lx.REFERENCE_HEADING, low=low) | tx.has(v, lx.FIGURE_LINE, low=low) | tx.has(v, lx.FORM_LINE, low=low)
+            | v.startswith("#") | v.startswith("|") | tx.has(v, r"^CHAPTER\s+(?:\d+|[A-Z]+)$", low=low) | tx.has(v, r"^\|?\s*:?-{3,}")
+            | tx.has(v, r"^(?:[-*+•]\s+|\d+[.)]\s+)") | v.contains("```") | v.contains("$$")
+            | ((n <= 16) & tx.has(v, lx.EMAIL, low=low)) | ((n <= 22) & tx.has(v, lx.EQUATION, low=low)) | ((n <= 14) & upper)
+            | ((n <= 14) & ~tx.has(v, r"[.!?]$") & (titled | tx.has(v, lx.INSTITUTION, low=low)))
+        )
+
+    return tx.bound(tx.strip(line), lambda v: tx.bound(F.size(F.split(v, r"(?U)\s+")), lambda n: tx.bound(tx.folded(v), lambda low: of(v, n, low))))
 
 
 def style_units(text: Column) -> Column:
     """array: editable units of prose; nothing from the first reference heading on."""
 
     def mark(line: Column) -> Column:
-        clean = tx.squeezed(line)
-        n = tx.n_words_wide(clean)
-        tail = tx.has(clean, lx.REFERENCE_HEADING)
-        kind = F.when(protected_line(line), 0).when(n >= 18, 1).otherwise(2)
-        ends = tx.has(clean, lx.SENTENCE_END)
-        return F.struct(kind.alias("kind"), clean.alias("clean"), n.alias("n"), ends.alias("ends"), tail.alias("tail"))
-
-    marked = F.transform(tx.lines(text), mark)
-    first = F.array_position(F.transform(marked, lambda x: x["tail"]), True)
-    body = F.when(first > 0, F.slice(marked, F.lit(1), (first - 1).cast("int"))).otherwise(marked)
-    return joined_units(body)
+        def of(clean: Column, n: Column) -> Column:
+            tail = tx.has(clean, lx.REFERENCE_HEADING)
+            kind = F.when(protected_line(line), 0).when(n >= 18, 1).otherwise(2)
+            ends = tx.has(clean, lx.SENTENCE_END)
+            return F.struct(kind.alias("kind"), clean.alias("clean"), n.alias("n"), ends.alias("ends"), tail.alias("tail"))
+
+        return tx.bound(tx.squeezed(line), lambda clean: tx.bound(tx.n_words_wide(clean), lambda n: of(clean, n)))
+
+    def body(marked: Column) -> Column:
+        first = F.array_position(F.transform(marked, lambda x: x["tail"]), True)
+        return F.when(first > 0, F.slice(marked, F.lit(1), (first - 1).cast("int"))).otherwise(marked)
+
+    return joined_units(tx.bound(F.transform(tx.lines(text), mark), body))
 
 
 def plain_opening(unit: Column) -> Column:

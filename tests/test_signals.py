@@ -70,6 +70,13 @@ def test_lexical_diversity_is_linear(spark):
     assert time.monotonic() - began < 20
 
 
+def test_deviation_is_linear(spark):
+    # the mean is taken once, not once for each value
+    began = time.monotonic()
+    assert one(spark, F.round(tx.deviation(F.sequence(F.lit(1), F.lit(60000))), 3)) == 17320.508
+    assert time.monotonic() - began < 10
+
+
 def test_needed_texts_stand_in_every_match(spark):
     assert literals.needed(r"\bnot only\b.+?\bbut also\b") in (("not only",), ("but also",))
     assert literals.needed(r"\b(?:it has been found that|research suggests)\b") == ("it has been found that", "research suggests")
