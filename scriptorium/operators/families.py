@@ -13,7 +13,6 @@ from scriptorium.functions import text as tx
 from scriptorium.operators.segments import by_document, prose_paragraphs, prose_sentences
 
 WEAK, MODERATE, STRONG = "weak", "moderate", "strong"
-EVIDENCE = "array<struct<description: string, severity: string>>"
 
 
 def evidence(*found: tuple[Column, str | Column, str | Column]) -> Column:
@@ -22,8 +21,8 @@ def evidence(*found: tuple[Column, str | Column, str | Column]) -> Column:
     for condition, description, severity in found:
         d = F.lit(description) if isinstance(description, str) else description
         s = F.lit(severity) if isinstance(severity, str) else severity
-        pieces.append(F.when(condition, F.struct(d.alias("description"), s.alias("severity"))))
-    return F.array_compact(F.array(*pieces)) if pieces else F.array().cast(EVIDENCE)
+        pieces.append((condition, F.struct(d.alias("description"), s.alias("severity"))))
+    return tx.listed(pieces, "struct<description: string, severity: string>")
 
 
 def score(found: Column) -> Column:
@@ -79,10 +78,13 @@ def anaphora(segments: DataFrame) -> DataFrame:
 def _features(prose: DataFrame) -> DataFrame:
     s = F.col("sentences")
 
+    body = F.col("body")
+
     def matching(pattern: str) -> Column:
-        return F.size(F.filter(s, lambda x: tx.has(x, pattern)))
+        """Of sentences; only a body that has what the pattern needs has any."""
+        gate, n = tx.may_have(body, pattern), F.size(F.filter(s, lambda x: x.rlike(tx.rx(pattern))))
+        return n if gate is None else F.when(~gate, 0).otherwise(n)
 
-    body = F.col("body")
     vocabulary = "|".join(sorted(lx.VOCABULARY, key=len, reverse=True))
     wide = prose.withColumn("sentences", prose_sentences(F.col("text"))).withColumn("paragraphs", prose_paragraphs(F.col("text")))
     base = wide.withColumn("body", F.array_join("sentences", "\n")).withColumns(
@@ -105,7 +107,7 @@ def _features(prose: DataFrame) -> DataFrame:
         "bullets": F.size(lists),
         "bullet_words": F.aggregate(F.transform(lists, tx.n_words), F.lit(0), lambda a, x: a + x),
         "conclusion": tx.has(body, lx.CONCLUSION_OPENER),
-        "tricolons": F.size(F.filter(s, lambda x: (tx.hits(x, lx.NUMBER) < 3) & tx.three_parts(x))),
+        "tricolons": F.size(F.filter(s, lambda x: tx.three_parts(x) & (tx.hits(x, lx.NUMBER) < 3))),
         "diminished": matching(lx.DIMINISHMENT),
         "obscured": matching(lx.OBSCURED),
         "universal": matching(lx.UNIVERSAL),
