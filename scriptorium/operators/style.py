@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import lexicon as lx
 from scriptorium.functions import text as tx
-from scriptorium.operators.segments import joined_units
+from scriptorium.operators import measures
 
 
 @dataclass(frozen=True)
@@ -49,105 +49,20 @@ def needs_edit(mode: str) -> Column:
     return F.lit(True) if mode == "deep" else (F.greatest(*map(F.col, issues)) > 0) | (F.col("generic_connector_hits") > 2)
 
 
-def protected_line(line: Column) -> Column:
-    """Whether a rewriter leaves a line as it is."""
-    cased = r"[\p{Lu}\p{Ll}\p{Lt}]"
-
-    def of(v: Column, n: Column, low: Column) -> Column:
-        upper = ~v.rlike(r"[\p{Ll}\p{Lt}]") & v.rlike(r"\p{Lu}")
-        titled = ~v.rlike(rf"(?<!{cased})\p{{Ll}}") & v.rlike(cased) & ~v.rlike(rf"{cased}[\p{{Lu}}\p{{Lt}}]")
-        return (
-            (v == "") | line.contains("\t") | line.contains(" | ")
-            | tx.has(v, lx.HEADING_LINE) | tx.has(v, lx.REFERENCE_HEADING, low=low) | tx.has(v, lx.FIGURE_LINE, low=low) | tx.has(v, lx.FORM_LINE, low=low)
-            | v.startswith("#") | v.startswith("|") | tx.has(v, r"^CHAPTER\s+(?:\d+|[A-Z]+)$", low=low) | tx.has(v, r"^\|?\s*:?-{3,}")
-            | tx.has(v, r"^(?:[-*+•]\s+|\d+[.)]\s+)") | v.contains("```") | v.contains("$$")
-            | ((n <= 16) & tx.has(v, lx.EMAIL, low=low)) | ((n <= 22) & tx.has(v, lx.EQUATION, low=low)) | ((n <= 14) & upper)
-            | ((n <= 14) & ~tx.has(v, r"[.!?]$") & (titled | tx.has(v, lx.INSTITUTION, low=low)))
-        )
-
-    return tx.bound(tx.strip(line), lambda v: tx.bound(F.size(F.split(v, r"(?U)\s+")), lambda n: tx.bound(tx.folded(v), lambda low: of(v, n, low))))
-
-
-def style_units(text: Column) -> Column:
-    """array: editable units of prose; nothing from the first reference heading on."""
-
-    def mark(line: Column) -> Column:
-        def of(clean: Column, n: Column) -> Column:
-            tail = tx.has(clean, lx.REFERENCE_HEADING)
-            kind = F.when(protected_line(line), 0).when(n >= 18, 1).otherwise(2)
-            ends = tx.has(clean, lx.SENTENCE_END)
-            return F.struct(kind.alias("kind"), clean.alias("clean"), n.alias("n"), ends.alias("ends"), tail.alias("tail"))
-
-        return tx.bound(tx.squeezed(line), lambda clean: tx.bound(tx.n_words_wide(clean), lambda n: of(clean, n)))
-
-    def body(marked: Column) -> Column:
-        first = F.array_position(F.transform(marked, lambda x: x["tail"]), True)
-        return F.when(first > 0, F.slice(marked, F.lit(1), (first - 1).cast("int"))).otherwise(marked)
-
-    return joined_units(tx.bound(F.transform(tx.lines(text), mark), body))
-
-
-def plain_opening(unit: Column) -> Column:
-    return F.array_join(F.slice(tx.tokens(F.regexp_replace(unit, lx.OPENING_MARKS, "")), 1, 3), " ")
-
-
-def _repeats(openings: Column, allowed: int) -> Column:
-    """How often openings that are not empty occur beyond `allowed`: one sorted pass."""
-    s = F.sort_array(F.filter(openings, lambda o: o != ""))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("extra"))
-
-    def step(acc: Column, o: Column) -> Column:
-        n = F.when(acc["last"] == o, acc["n"] + 1).otherwise(1)
-        return F.struct(o.alias("last"), n.alias("n"), (acc["extra"] + (n > allowed).cast("int")).alias("extra"))
-
-    return F.aggregate(s, start, step, lambda acc: acc["extra"])
-
-
 def style_report(docs: DataFrame, targets: Variation | None = None) -> DataFrame:
     """doc_id and the measures of each text, with naturalness_score (100 less penalties).  Null text is empty."""
+    measured = docs.select("doc_id", measures.style(F.coalesce(F.col("text"), F.lit(""))).alias("measured"))
+    return measured.select("doc_id", *report_of(F.col("measured"), targets))
+
+
+def report_of(m: Column, targets: Variation | None = None) -> list[Column]:
+    """The columns of a style report, from the measures of `measures.STYLE`."""
     t = targets or Variation()
-    c, text = F.col, F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", text.alias("text")).withColumn("units", style_units(F.col("text")))
-    base = base.withColumn("sentences", F.flatten(F.transform("units", tx.sentences)))
-    base = base.withColumns(
-        {
-            "lengths": F.filter(F.transform("sentences", tx.n_words_wide), lambda n: n > 0),
-            "unit_lengths": F.filter(F.transform("units", tx.n_words_wide), lambda n: n > 0),
-            "word_count": tx.n_words_wide(c("text")),
-            **{f"f{i}": tx.hits(c("text"), rf"\b{f}\b") for i, f in enumerate(lx.STYLE_FRAMES)},
-        }
-    )
-    limit = F.greatest(F.lit(2), F.floor(F.greatest(F.lit(1), c("word_count")) / 500))
-
-    def counted(condition) -> Column:
-        return F.size(F.filter("lengths", condition))
-
-    n = F.greatest(F.size("lengths"), F.lit(1))
-    measured = base.withColumns(
-        {
-            "msttr": tx.type_token_ratio(c("text")),
-            "s_cv": tx.variation(c("lengths")),
-            "p_cv": tx.variation(c("unit_lengths")),
-            "s_sd": tx.deviation(c("lengths")),
-            "p_sd": tx.deviation(c("unit_lengths")),
-            "short": counted(lambda x: (x >= 5) & (x <= 11)) / n,
-            "long": counted(lambda x: (x >= 30) & (x <= 52)) / n,
-            "generic_phrase_hits": sum((tx.hits(c("text"), p) for p in lx.STYLE_GENERIC), F.lit(0)),
-            "repeated_sentence_openings": _repeats(F.transform("sentences", plain_opening), 2),
-            "repeated_paragraph_openings": _repeats(F.transform("units", plain_opening), 1),
-            "generic_connector_hits": tx.hits(c("text"), lx.LINE_CONNECTOR),
-            "long_sentence_count": counted(lambda x: x > 45),
-            "overloaded_sentence_count": counted(lambda x: x > 65),
-            "very_short_sentence_count": counted(lambda x: x < 5),
-            "repeated_frame_density": sum((F.greatest(F.lit(0), c(f"f{i}") - limit) for i in range(len(lx.STYLE_FRAMES))), F.lit(0)).cast("int"),
-            "repeated_frames": F.map_filter(
-                F.create_map(*[x for i, f in enumerate(lx.STYLE_FRAMES) for x in (F.lit(f), c(f"f{i}"))]), lambda _, v: v > 0
-            ),
-        }
-    )
-    many, blocks = F.size("lengths") >= 8, F.size("unit_lengths") >= 4
-    even = (F.size("lengths") >= 6) & (c("s_sd") < 5)
-    even_blocks = blocks & (c("p_sd") < 18)
+    n, blocks_n = F.greatest(m["n_lengths"], F.lit(1)), m["n_blocks"]
+    short, long = m["short"] / n, m["long"] / n
+    many, blocks = m["n_lengths"] >= 8, blocks_n >= 4
+    even = (m["n_lengths"] >= 6) & (m["s_sd"] < 5)
+    even_blocks = blocks & (m["p_sd"] < 18)
 
     def most(limit_: int, value: Column) -> Column:
         return F.least(F.lit(limit_), value.cast("int"))
@@ -156,32 +71,34 @@ def style_report(docs: DataFrame, targets: Variation | None = None) -> DataFrame
         return F.when(F.lit(when) & (value < target), most(limit_, F.bround((F.lit(target) - value) * by, 0))).otherwise(0)
 
     penalty = (
-        most(24, c("generic_phrase_hits") * 4) + most(14, c("repeated_sentence_openings") * 2) + most(14, c("repeated_paragraph_openings") * 3)
-        + most(10, F.greatest(F.lit(0), c("generic_connector_hits") - 2) * 2) + most(14, c("long_sentence_count"))
-        + most(12, c("overloaded_sentence_count") * 2) + most(8, c("very_short_sentence_count") * 2) + most(12, c("repeated_frame_density"))
-        + F.when(even, 7).otherwise(0) + F.when(even_blocks, 5).otherwise(0) + gap(t.lexical, c("msttr"), 50, 10, True)
-        + gap(t.sentence_cv, c("s_cv"), 20, 10, many) + gap(t.paragraph_cv, c("p_cv"), 15, 7, blocks)
-        + F.when(many & (c("short") < t.short_share), 4).otherwise(0) + F.when(many & (c("long") < 0.07), 2).otherwise(0)
+        most(24, m["generic_phrase_hits"] * 4) + most(14, m["repeated_sentence_openings"] * 2) + most(14, m["repeated_paragraph_openings"] * 3)
+        + most(10, F.greatest(F.lit(0), m["generic_connector_hits"] - 2) * 2) + most(14, m["long_sentence_count"])
+        + most(12, m["overloaded_sentence_count"] * 2) + most(8, m["very_short_sentence_count"] * 2) + most(12, m["repeated_frame_density"])
+        + F.when(even, 7).otherwise(0) + F.when(even_blocks, 5).otherwise(0) + gap(t.lexical, m["msttr"], 50, 10, True)
+        + gap(t.sentence_cv, m["s_cv"], 20, 10, many) + gap(t.paragraph_cv, m["p_cv"], 15, 7, blocks)
+        + F.when(many & (short < t.short_share), 4).otherwise(0) + F.when(many & (long < 0.07), 2).otherwise(0)
+    )
+    met = (m["msttr"] >= t.lexical) & (m["s_cv"] >= t.sentence_cv) & (m["p_cv"] >= t.paragraph_cv)
+    named = F.map_from_arrays(F.array(*map(F.lit, lx.STYLE_FRAMES)), m["frames"])
+    counts = (
+        "generic_phrase_hits", "repeated_sentence_openings", "repeated_paragraph_openings", "generic_connector_hits", "long_sentence_count",
+        "overloaded_sentence_count", "very_short_sentence_count", "repeated_frame_density",
     )
-    met = (c("msttr") >= t.lexical) & (c("s_cv") >= t.sentence_cv) & (c("p_cv") >= t.paragraph_cv)
-    return measured.select(
-        "doc_id",
+    return [
         F.greatest(F.lit(0), F.least(F.lit(100), 100 - penalty)).alias("naturalness_score"),
-        "word_count",
-        F.size("units").alias("paragraph_count"),
-        F.size("sentences").alias("sentence_count"),
-        F.bround("msttr", 3).alias("lexical_diversity_msttr"),
-        F.bround("s_cv", 3).alias("sentence_length_cv"),
-        F.bround("p_cv", 3).alias("paragraph_length_cv"),
-        F.bround("short", 3).alias("short_sentence_ratio"),
-        F.bround("long", 3).alias("long_sentence_ratio"),
-        F.bround("s_sd", 2).alias("sentence_length_std_dev"),
-        F.bround("p_sd", 2).alias("paragraph_length_std_dev"),
-        (met & (c("short") >= t.short_share) & (c("long") >= t.long_share)).alias("variation_targets_met"),
-        "generic_phrase_hits", "repeated_sentence_openings", "repeated_paragraph_openings", "generic_connector_hits",
-        "long_sentence_count", "overloaded_sentence_count", "very_short_sentence_count", "repeated_frame_density", "repeated_frames",
+        *[m[k].alias(k) for k in ("word_count", "paragraph_count", "sentence_count")],
+        F.bround(m["msttr"], 3).alias("lexical_diversity_msttr"),
+        F.bround(m["s_cv"], 3).alias("sentence_length_cv"),
+        F.bround(m["p_cv"], 3).alias("paragraph_length_cv"),
+        F.bround(short, 3).alias("short_sentence_ratio"),
+        F.bround(long, 3).alias("long_sentence_ratio"),
+        F.bround(m["s_sd"], 2).alias("sentence_length_std_dev"),
+        F.bround(m["p_sd"], 2).alias("paragraph_length_std_dev"),
+        (met & (short >= t.short_share) & (long >= t.long_share)).alias("variation_targets_met"),
+        *[m[k].alias(k) for k in counts],
+        F.map_filter(named, lambda _, v: v > 0).alias("repeated_frames"),
         even.alias("uniform_sentence_rhythm"), even_blocks.alias("uniform_paragraph_rhythm"),
-    )
+    ]
 
 
 def word_table(prose: DataFrame) -> DataFrame:
@@ -231,7 +148,11 @@ def ngram_repetition(prose: DataFrame) -> DataFrame:
         return F.size(F.filter(again, lambda same: same)).cast("long") * n
 
     both = ranked.withColumn("repeated_units", F.when(F.col("n_words") >= 20, units(2) + units(3) + units(4)).otherwise(0).cast("long")).drop("g2", "g3", "g4")
-    return both.withColumn("ngram_pct", tx.percent(F.col("repeated_units") / F.greatest(F.lit(1), F.col("n_words")) * 180))
+    return both.withColumn("ngram_pct", ngram_share(F.col("repeated_units"), F.col("n_words")))
+
+
+def ngram_share(repeated_units: Column, n_words: Column) -> Column:
+    return tx.percent(repeated_units / F.greatest(F.lit(1), n_words) * 180)
 
 
 def syntactic_signature(sentence: Column) -> Column:
@@ -264,9 +185,14 @@ def semantic_density(prose: DataFrame, segments: DataFrame) -> DataFrame:
     blocks = F.filter(F.transform(F.split("text", r"(?U)\n\s*\n"), tx.strip), lambda p: p != "")
     both = prose.select("doc_id", F.transform(blocks, content_density).alias("p")).join(by_sentence, "doc_id")
     cv = both.select("doc_id", F.size("s").alias("sn"), F.size("p").alias("pn"), tx.variation(F.sort_array("s")).alias("s_cv"), tx.variation(F.col("p")).alias("p_cv"))
-    a = F.when((F.col("sn") >= 6) & (F.col("s_cv") < 0.12), 55).otherwise(F.greatest(F.lit(0.0), (F.lit(0.22) - F.col("s_cv")) * 180))
-    b = F.when((F.col("pn") >= 4) & (F.col("p_cv") < 0.10), 30).otherwise(F.greatest(F.lit(0.0), (F.lit(0.18) - F.col("p_cv")) * 120))
-    return cv.select("doc_id", tx.percent(a + b).alias("semantic_pct"))
+    return cv.select("doc_id", evenness(F.col("sn"), F.col("s_cv"), F.col("pn"), F.col("p_cv")).alias("semantic_pct"))
+
+
+def evenness(sn: Column, s_cv: Column, pn: Column, p_cv: Column) -> Column:
+    """0 to 100, from the numbers of sentences and paragraphs and how their shares of content words vary."""
+    a = F.when((sn >= 6) & (s_cv < 0.12), 55).otherwise(F.greatest(F.lit(0.0), (F.lit(0.22) - s_cv) * 180))
+    b = F.when((pn >= 4) & (p_cv < 0.10), 30).otherwise(F.greatest(F.lit(0.0), (F.lit(0.18) - p_cv) * 120))
+    return tx.percent(a + b)
 
 
 def temporal_score(text: Column, as_of_year: int) -> Column:
@@ -334,16 +260,29 @@ def fingerprint(prose: DataFrame, segments: DataFrame, style: DataFrame, as_of_y
         .join(claims(segments), "doc_id", "left")
         .na.fill(0)
     )
-    zero = F.lit(0.0)
+    total = F.greatest(F.lit(1), tx.n_words(c("text")))
+    typos = tx.hits(c("text"), lx.TYPO)
+    polished = F.when((total >= 250) & (typos == 0), F.when(total < 800, 55).otherwise(75)).when(typos > 0, F.greatest(F.lit(0), 25 - F.least(F.lit(25), typos * 4)))
+    metrics = weighted_metrics(t, tx.hits(c("text"), lx.TRANSITION_WORDS)) | {
+        "typo_absence": F.coalesce(polished, F.lit(0)),
+        "temporal_awareness": temporal_score(c("text"), as_of_year),
+        "hallucination_patterns": implausibility(c("text"), c("unsupported")),
+    }
+    order = [*(k for keys in GROUPS.values() for k in keys)]
+    out = joined.select("doc_id", *[metrics[k].cast("int").alias(k) for k in order])
+    groups = {f"{g}_pct": tx.percent(sum((c(k) for k in keys), F.lit(0)) / len(keys)) for g, keys in GROUPS.items()}
+    return out.withColumns(groups | {"statistical_pct": statistical()})
+
+
+def weighted_metrics(t: Variation, transitions: Column) -> dict[str, Column]:
+    """The metrics of FINGERPRINT, from the columns of a style report and top_share, common_share, ngram_pct, semantic_pct, syntax_share."""
+    zero, c = F.lit(0.0), F.col
     low = F.greatest(zero, t.lexical - c("lexical_diversity_msttr"))
     repeated = c("repeated_sentence_openings") + c("repeated_paragraph_openings")
     rhythm = tx.percent(F.greatest(zero, t.sentence_cv - c("sentence_length_cv")) * 120 + F.greatest(zero, t.paragraph_cv - c("paragraph_length_cv")) * 80)
     rhythm = F.when(c("uniform_sentence_rhythm"), tx.percent(rhythm + 18)).otherwise(rhythm)
     rhythm = F.when(c("uniform_paragraph_rhythm"), tx.percent(rhythm + 12)).otherwise(rhythm)
-    total = F.greatest(F.lit(1), tx.n_words(c("text")))
-    typos = tx.hits(c("text"), lx.TYPO)
-    polished = F.when((total >= 250) & (typos == 0), F.when(total < 800, 55).otherwise(75)).when(typos > 0, F.greatest(F.lit(0), 25 - F.least(F.lit(25), typos * 4)))
-    metrics = {
+    return {
         "perplexity_proxy": tx.percent(low * 130 + c("generic_phrase_hits") * 5 + repeated * 3 + c("repeated_frame_density") * 2),
         "burstiness": rhythm,
         "token_distribution_proxy": tx.percent(
@@ -352,12 +291,11 @@ def fingerprint(prose: DataFrame, segments: DataFrame, style: DataFrame, as_of_y
         "ngram_frequency": c("ngram_pct"),
         "uniform_semantic_density": c("semantic_pct"),
         "repetitive_syntactic_structures": tx.percent(c("syntax_share") * 100 + repeated * 7),
-        "typo_absence": F.coalesce(polished, F.lit(0)),
-        "systemic_transitions": tx.percent(c("generic_connector_hits") * 8 + F.greatest(F.lit(0), tx.hits(c("text"), lx.TRANSITION_WORDS) - 4) * 5),
+        "systemic_transitions": tx.percent(c("generic_connector_hits") * 8 + F.greatest(F.lit(0), transitions - 4) * 5),
         "low_vocabulary_diversity": tx.percent(low * 170 + F.greatest(zero, c("top_share") - 0.50) * 120),
-        "temporal_awareness": temporal_score(c("text"), as_of_year),
-        "hallucination_patterns": implausibility(c("text"), c("unsupported")),
     }
-    out = joined.select("doc_id", *[v.cast("int").alias(k) for k, v in metrics.items()])
-    groups = {f"{g}_pct": tx.percent(sum((c(k) for k in keys), F.lit(0)) / len(keys)) for g, keys in GROUPS.items()}
-    return out.withColumns(groups | {"statistical_pct": tx.percent(sum((c(k) * w for k, w in FINGERPRINT.items()), zero))})
+
+
+def statistical() -> Column:
+    """The weighted metrics of a row."""
+    return tx.percent(sum((F.col(k) * w for k, w in FINGERPRINT.items()), F.lit(0.0)))
