@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from scriptorium.functions import scan
+from scriptorium.functions import evidence, scan
 
 STYLE = (
     "word_count int, paragraph_count int, sentence_count int, n_lengths int, n_blocks int, msttr double, s_cv double, p_cv double, s_sd double, p_sd double, "
@@ -31,7 +32,7 @@ _KINDS = {"int": IntegerType(), "long": LongType(), "double": DoubleType(), "boo
 
 
 def _struct(fields: str, **more: DataType) -> StructType:
-    out = StructType([StructField(name, _KINDS[kind]) for name, kind in map(str.split, fields.split(", "))])
+    out = StructType([StructField(name, _KINDS[kind]) for name, kind in map(str.split, filter(None, fields.split(", ")))])
     for name, kind in more.items():
         out.add(name, kind)
     return out
@@ -55,3 +56,47 @@ def _measured(measure: Callable[[str], dict], made: StructType) -> Callable:
 
 
 style, families, document = _measured(scan.style, _struct(STYLE)), _measured(scan.families, _struct(FAMILIES)), _measured(scan.document, DOCUMENT)
+
+#: An edited text with what it breaks and its style.
+CANDIDATES = ArrayType(_struct("level string, candidate string", issues=ArrayType(StringType()), style=_struct(STYLE)))
+CHECKS = (
+    "numbers", "citations", "urls", "emails", "headings", "tables", "equations", "references", "placeholders", "acronyms", "claim_qualifiers", "user_terms",
+)
+_CERTIFICATE = _struct(", ".join(f"{k} boolean" for k in ("passed", *CHECKS)) + ", changed_words double")
+
+
+def edited(edit: Callable[..., list[tuple[str, str]]]) -> Callable:
+    """A UDF of (text, terms, change limit, ...): struct of the style of the text, and of the candidates (level, text) that `edit` makes of it."""
+    made = _struct("", style=_struct(STYLE), candidates=CANDIDATES)
+
+    def one(text: str, terms: list[str] | None, limit: float, *more: list) -> dict:
+        known = scan.Text(text)
+        source, terms = evidence.Evidence(text), terms or []
+        style = known.style(source.text, source.low)
+        judged: dict[str, dict] = {text: {"issues": evidence.broken(source, source, limit, terms), "style": style}}
+        out = []
+        for level, candidate in edit(text, terms, *[x or [] for x in more]):
+            if candidate not in judged:
+                new = evidence.Evidence(candidate)
+                issues = evidence.broken(source, new, limit, terms)
+                judged[candidate] = {"issues": issues, "style": None if issues else known.style(new.text, new.low)}
+            out.append({"level": level, "candidate": candidate} | judged[candidate])
+        return {"style": style, "candidates": out}
+
+    @F.arrow_udf(made)
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([one(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], type=to_arrow_type(made))
+
+    return run
+
+
+@F.arrow_udf(_CERTIFICATE)
+def _certificate(original: pa.Array, candidate: pa.Array, terms: pa.Array) -> pa.Array:
+    rows = zip(original.to_pylist(), candidate.to_pylist(), terms.to_pylist(), strict=True)
+    return pa.array([evidence.certificate(a, b, t) for a, b, t in rows], type=to_arrow_type(_CERTIFICATE))
+
+
+def certificate(original: Column, candidate: Column, terms: Column | None = None) -> Column:
+    """`preservation.certificate` by one reading of both texts; none of them null."""
+    made = _certificate(original, candidate, F.array().cast("array<string>") if terms is None else terms)
+    return F.struct(made["passed"].alias("passed"), *[made[k].alias(k) for k in CHECKS], F.round(made["changed_words"], 4).alias("changed_word_ratio"))

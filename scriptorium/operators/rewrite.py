@@ -1,8 +1,8 @@
 """Conservative editing of documents behind a gate that protected evidence must pass.
 
 Candidates are made by document in an Arrow UDF, as connectors are counted through a
-whole document.  They are judged by columns: what breaks evidence goes, the most
-natural of the rest stays, and never one that is less natural than its source.
+whole document, and measured there.  Columns judge them: what breaks evidence goes, the
+most natural of the rest stays, and never one that is less natural than its source.
 The choice looks at the quality of the writing only.
 """
 
@@ -12,14 +12,14 @@ from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from scriptorium.functions import lexicon as lx
 from scriptorium.functions import text as tx
 from scriptorium.operators import batches as batching
-from scriptorium.operators import edits, preservation, style
+from scriptorium.operators import edits, measures, preservation, style
 from scriptorium.sources.scratch import stored
 
 LEVELS = {"light": ["light"], "balanced": ["light", "balanced"], "deep": ["light", "balanced", "deep"]}
@@ -32,86 +32,67 @@ METRIC_FAMILIES = {
 
 
 def _local(levels: list[str]) -> Callable:
-    @F.pandas_udf("array<struct<level: string, candidate: string>>")
-    def run(text: pd.Series, terms: pd.Series) -> pd.Series:
-        def one(t: str, keep: list[str]) -> list[dict]:
-            out = []
-            for level in levels:
-                seen: Counter = Counter()
-                out.append({"level": level, "candidate": edits.by_line(t, lambda p, seen=seen, level=level: edits.refined(p, seen, level, list(keep)))})
-            return out
-
-        return pd.Series([one(t, k if k is not None else []) for t, k in zip(text, terms, strict=True)])
+    def run(text: str, terms: list[str]) -> list[tuple[str, str]]:
+        out, known = [], {}
+        for level in levels if text.strip(tx.SPACE) else ():
+            seen: Counter = Counter()
+            out.append((level, edits.by_line(text, lambda p, seen=seen, level=level: edits.refined(p, seen, level, terms, known))))
+        return out
 
-    return run
+    return measures.edited(run)
 
 
 def _guided(levels: list[str]) -> Callable:
-    @F.pandas_udf("array<struct<level: string, candidate: string>>")
-    def run(text: pd.Series, terms: pd.Series, families: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        def one(t: str, keep: list[str], keys: list[str], a: list[int], b: list[int]) -> list[dict]:
-            out = []
-            if not len(keys):
-                return out
-            for level in levels:
-                seen: Counter = Counter()
-                out.append(
-                    {
-                        "level": level,
-                        "candidate": edits.by_line(
-                            t,
-                            lambda p, seen=seen, level=level: edits.guided(p, seen, set(keys), level, list(keep)),
-                            lambda s, e: any(x < e and y > s for x, y in zip(a, b, strict=True)),
-                        ),
-                    }
-                )
-            return out
-
-        columns = zip(text, terms, families, starts, ends, strict=True)
-        return pd.Series([one(t, *[x if x is not None else [] for x in rest]) for t, *rest in columns])
+    def run(text: str, terms: list[str], keys: list[str], flagged: list[dict]) -> list[tuple[str, str]]:
+        out = []
+        for level in levels if keys and flagged else ():
+            seen: Counter = Counter()
+            new = edits.by_line(
+                text,
+                lambda p, seen=seen, level=level: edits.guided(p, seen, set(keys), level, terms),
+                lambda s, e: any(x["start"] < e and x["end"] > s for x in flagged),
+            )
+            out.append((level, new))
+        return out
 
-    return run
+    return measures.edited(run)
 
 
 def _limit(words: Column, few: int, loose: float, share: int, least: float, most: float) -> Column:
     return F.when(words < few, loose).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), share / words)))
 
 
-def changed_characters(a: Column, b: Column) -> Column:
-    """Places at which two texts differ, and the difference of their lengths."""
-    places = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))
-    return F.when((a == "") | (b == ""), F.length(a) + F.length(b)).otherwise(F.size(F.filter(places, lambda same: ~same)))
-
-
-def chosen(sources: DataFrame, candidates: DataFrame, never_worse: bool) -> DataFrame:
+def chosen(edited: DataFrame, never_worse: bool) -> DataFrame:
     """doc_id, text, applied, applied_level, preservation_passed, preservation_issues, score_before, score_after.
 
-    sources(rid, doc_id, text, terms, change_limit), rid being a row's own; candidates(rid, level, candidate).
-    A document whose candidates all break evidence, or read worse, keeps its text.  Of equal scores the
-    stronger level wins, then the one that changes more characters.
+    edited(doc_id, text, made), made being what `measures.edited` makes of a text.  A document whose candidates all
+    break evidence, or read worse, keeps its text.  Of equal scores the stronger level wins.
     """
     rank = F.create_map(*[x for i, v in enumerate(("light", "balanced", "deep")) for x in (F.lit(v), F.lit(i))])
-    both = candidates.join(sources, "rid").withColumn("issues", preservation.broken(F.col("text"), F.col("candidate"), F.col("change_limit"), F.col("terms")))
-    both = stored(both.withColumn("key", F.concat_ws(":", "rid", "level")))  # three branches read the candidates
-    scored = style.style_report(both.select(F.col("key").alias("doc_id"), F.col("candidate").alias("text")))
-    scored = scored.select(F.col("doc_id").alias("key"), F.col("naturalness_score").alias("score_after"))
-    ok = both.where(F.size("issues") == 0).join(scored, "key").withColumn("rank", F.element_at(rank, F.col("level")))
-    order = Window.partitionBy("rid").orderBy(F.desc("score_after"), F.desc("rank"), F.desc(changed_characters(F.col("text"), F.col("candidate"))))
-    best = ok.withColumn("place", F.row_number().over(order)).where("place = 1").select("rid", "candidate", "level", "score_after")
-    issues = both.groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("issues")))).alias("issues"), F.count(F.lit(1)).alias("tried"))
-    before = style.style_report(sources.select(F.col("rid").alias("doc_id"), "text")).select(F.col("doc_id").alias("rid"), F.col("naturalness_score").alias("score_before"))
-    out = sources.join(before, "rid").join(best, "rid", "left").join(issues, "rid", "left")
-    take = F.col("candidate").isNotNull() & (F.lit(not never_worse) | (F.col("score_after") >= F.col("score_before")))
-    failed = (F.coalesce("tried", F.lit(0)) > 0) & F.col("candidate").isNull()
-    return out.select(
+
+    def score(style_of: Column) -> Column:
+        return style.report_of(style_of)[0]
+
+    standing = F.transform(
+        F.filter(F.col("made.candidates"), lambda c: F.size(c["issues"]) == 0),
+        lambda c: F.struct(score(c["style"]).alias("score"), F.element_at(rank, c["level"]).alias("rank"), c["level"].alias("level"), c["candidate"].alias("candidate")),
+    )
+    every = F.flatten(F.transform(F.col("made.candidates"), lambda c: c["issues"]))
+    judged = edited.select(
+        "doc_id", "text", score(F.col("made.style")).alias("score_before"), F.array_max(standing).alias("best"), (F.size("made.candidates") > 0).alias("tried"),
+        F.array_sort(F.array_distinct(every)).alias("issues"),
+    )
+    take = F.col("best").isNotNull() & (F.lit(not never_worse) | (F.col("best.score") >= F.col("score_before")))
+    failed = F.col("tried") & F.col("best").isNull()
+    return judged.withColumns({"take": take, "failed": failed}).select(
         "doc_id",
-        F.when(take, F.col("candidate")).otherwise(F.col("text")).alias("text"),
-        (take & (F.col("candidate") != F.col("text"))).alias("applied"),
-        F.when(take, F.col("level")).alias("applied_level"),
-        (~failed).alias("preservation_passed"),
-        F.when(failed, F.col("issues")).otherwise(F.array().cast("array<string>")).alias("preservation_issues"),
+        F.when(F.col("take"), F.col("best.candidate")).otherwise(F.col("text")).alias("text"),
+        (F.col("take") & (F.col("best.candidate") != F.col("text"))).alias("applied"),
+        F.when(F.col("take"), F.col("best.level")).alias("applied_level"),
+        (~F.col("failed")).alias("preservation_passed"),
+        F.when(F.col("failed"), F.col("issues")).otherwise(F.array().cast("array<string>")).alias("preservation_issues"),
         "score_before",
-        F.when(take, F.col("score_after")).otherwise(F.col("score_before")).alias("score_after"),
+        F.when(F.col("take"), F.col("best.score")).otherwise(F.col("score_before")).alias("score_after"),
     )
 
 
@@ -120,16 +101,16 @@ def _sources(docs: DataFrame, terms: list[str], few: int, loose: float, share: i
     words = F.greatest(F.lit(1), tx.n_words_wide(text))
     keep = F.array(*map(F.lit, terms)).cast("array<string>")
     limit = _limit(words, few, loose, share, least, most).alias("change_limit")
-    rows = docs.select("doc_id", text.alias("text"), preservation.protected_terms(keep).alias("terms"), limit)
-    return stored(rows.withColumn("rid", F.monotonically_increasing_id()))  # repeated and null ids are rows of their own
+    return docs.select("doc_id", text.alias("text"), preservation.protected_terms(keep).alias("terms"), limit)
 
 
 def rewritten(docs: DataFrame, mode: str = "balanced", terms: list[str] | None = None) -> DataFrame:
     """Local editing, without any look at signals.  Modes: light, balanced, deep, off.  Null texts are empty."""
     sources = _sources(docs, terms or [], 120, 0.60, 90, 0.14, 0.48)
     levels = [] if mode == "off" else LEVELS.get(mode, LEVELS["balanced"])
-    made = sources.where(tx.strip(F.col("text")) != "").select("rid", F.explode(_local(levels)("text", "terms")).alias("c"))
-    return chosen(sources, made.select("rid", "c.level", "c.candidate"), never_worse=True)
+    # dealt out anew, as a file of a few MB may hold work for an hour; kept, as the choice reads it more than once
+    made = sources.repartition(F.xxhash64("text")).withColumn("made", _local(levels)("text", "terms", "change_limit"))
+    return chosen(stored(made), never_worse=True)
 
 
 def guided_families(scores: DataFrame) -> DataFrame:
@@ -139,20 +120,22 @@ def guided_families(scores: DataFrame) -> DataFrame:
     return scores.select("doc_id", F.array_sort(F.array_distinct(F.array_compact(F.array(*active, *metrics)))).alias("families"))
 
 
-def rewritten_guided(docs: DataFrame, scores: DataFrame, segments: DataFrame, mode: str = "deep", terms: list[str] | None = None) -> DataFrame:
+def rewritten_guided(docs: DataFrame, scores: DataFrame, segments: DataFrame | None = None, mode: str = "deep", terms: list[str] | None = None) -> DataFrame:
     """Editing of just the lines that hold a flagged sentence, by the families that are active.
 
-    scores: private document scores; segments: scored segments.
+    scores: private document scores; segments: scored segments, where the scores do not hold the flagged ranges.
     """
     sources = _sources(docs, terms or [], 150, 0.65, 110, 0.18, 0.52)
-    flagged = segments.where("NOT protected AND risk > 0 AND band IN ('low', 'moderate', 'high')").groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("at")
-    )
-    each = sources.join(guided_families(scores), "doc_id").join(flagged, "doc_id")
+    if segments is None:
+        flagged = scores.select("doc_id", F.col("flagged_at").alias("at"))
+    else:
+        flagged = segments.where("NOT protected AND risk > 0 AND band IN ('low', 'moderate', 'high')").groupBy("doc_id").agg(
+            F.sort_array(F.collect_list(F.struct("start", "end"))).alias("at")
+        )
+    # rows that neither calls for an edit keep their text, as do repeated and null ids that are rows of their own
+    each = sources.join(guided_families(scores), "doc_id", "left").join(flagged, "doc_id", "left")
     run = _guided(GUIDED_LEVELS.get(mode, ["deep"]))
-    starts, ends = F.transform("at", lambda x: x["start"]), F.transform("at", lambda x: x["end"])
-    made = each.select("rid", F.explode(run("text", "terms", "families", starts, ends)).alias("c"))
-    return chosen(sources, made.select("rid", "c.level", "c.candidate"), never_worse=False)
+    return chosen(stored(each.withColumn("made", run("text", "terms", "change_limit", "families", "at"))), never_worse=False)
 
 
 def _asked(model: Callable[[str], str], retries: int) -> Callable:
