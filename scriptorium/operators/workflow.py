@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import lexicon as lx
 from scriptorium.functions import text as tx
-from scriptorium.operators import batches, ensemble, preservation, rewrite, signals, style
-from scriptorium.operators import segments as seg
+from scriptorium.operators import batches, ensemble, measures, preservation, rewrite, style
 from scriptorium.sources import documents
 from scriptorium.sources.scratch import stored
 
@@ -28,16 +27,23 @@ def _scores(keyed: DataFrame, as_of_year: int) -> DataFrame:
     return stored(ensemble.document_scores(keyed, as_of_year, private=True))
 
 
-def _guided(keyed: DataFrame, scores: DataFrame, mode: str, terms: list[str] | None) -> DataFrame:
-    return rewrite.rewritten_guided(keyed, scores, signals.scored_segments(seg.sentences(keyed)), mode, terms)
+def _edited(made: DataFrame) -> DataFrame:
+    return made.select("doc_id", "text", F.col("applied").alias("changed"))
+
+
+def _rescored(before: DataFrame, edited: DataFrame, as_of_year: int) -> DataFrame:
+    """The scores of edited(doc_id, text, changed); texts that are as before keep their scores."""
+    changed = edited.where("changed")
+    return stored(before.join(changed.select("doc_id"), "doc_id", "left_anti").unionByName(_scores(changed, as_of_year)))
 
 
 def _by_model(first: DataFrame, model: Callable[[str], str], mode: str, terms: list[str] | None, limit: float) -> DataFrame:
-    """doc_id, text: the batches of first(doc_id, text), edited and joined again."""
-    done = rewrite.rewritten_by(batches.batches(first), model, terms=terms, limit=limit, mode=mode)
+    """doc_id, text, changed: the batches of first(doc_id, text, changed), edited and joined again."""
+    done = rewrite.rewritten_by(batches.batches(first.drop("changed")), model, terms=terms, limit=limit, mode=mode)
     whole = done.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("batch", "revised"))).alias("x"))
     joined = whole.select("doc_id", tx.strip(F.array_join(F.transform("x", lambda b: b["revised"]), "\n\n")).alias("new"))
-    return first.join(joined, "doc_id", "left").select("doc_id", F.coalesce("new", "text").alias("text"))
+    both = first.join(joined, "doc_id", "left").withColumn("new", F.coalesce("new", "text"))
+    return both.select("doc_id", F.col("new").alias("text"), (F.col("changed") | (F.col("new") != F.col("text"))).alias("changed"))
 
 
 def _changes(keys: list[str], targeted: Column | None = None) -> Column:
@@ -70,16 +76,16 @@ def edited_documents(
     no_families = F.array().cast("array<string>")
     targeted, actual, fell_back = keyed.select("doc_id", no_families.alias("targeted")), editor, None
     if editor == "guided":
-        first = revised = stored(_guided(keyed, before, mode, terms).select("doc_id", "text"))
+        first = revised = stored(_edited(rewrite.rewritten_guided(keyed, before, None, mode, terms)))
         targeted = rewrite.guided_families(before).withColumnRenamed("families", "targeted")
     else:
-        first = revised = stored(rewrite.rewritten(keyed, mode, terms).select("doc_id", "text"))
+        first = revised = stored(_edited(rewrite.rewritten(keyed, mode, terms)))
         if editor == "model" and model is not None and mode in ("balanced", "deep"):
             limit = style.Variation.configured(docs.sparkSession).word_change
             revised = stored(_by_model(first, model, mode, terms, limit))
         elif editor == "model":
             actual, fell_back = "local_fallback", "no model" if model is None else "models edit in balanced and deep mode only"
-    after = _scores(revised, as_of_year)
+    after = _rescored(before, revised, as_of_year)
     b, a = F.col("b.naturalness_score"), F.col("a.naturalness_score")
     worse = a < b
     shown = F.when(worse, F.col("rows.text")).otherwise(F.col("new"))
@@ -110,7 +116,7 @@ def edited_documents(
         unless_worse(_changes(list(lx.FAMILY_WEIGHTS), F.col("targeted"))).alias("signal_map"),
         unless_worse(_changes(list(style.FINGERPRINT))).alias("statistical_map"),
     )
-    certified = out.withColumn("certificate", preservation.certificate(F.col("source"), F.col("text"), preservation.protected_terms(keep)))
+    certified = out.withColumn("certificate", measures.certificate(F.col("source"), F.col("text"), preservation.protected_terms(keep)))
     return certified.withColumn("changed", F.col("text") != F.col("source")).drop("source")
 
 
@@ -123,11 +129,11 @@ def robustness(docs: DataFrame, as_of_year: int, mode: str = "balanced") -> Data
     keyed = rows.select(F.col("rid").alias("doc_id"), "text")
     before = _scores(keyed, as_of_year)
     out = rows.join(before.select(F.col("doc_id").alias("rid"), F.col("ai_signal").alias("before")), "rid")
-    for name, made in (("local", rewrite.rewritten(keyed, mode)), ("guided", _guided(keyed, before, mode, None))):
-        new = stored(made.select("doc_id", "text"))
-        scores = _scores(new, as_of_year).select(F.col("doc_id").alias("rid"), F.col("ai_signal").alias(f"{name}_after"))
+    for name, made in (("local", rewrite.rewritten(keyed, mode)), ("guided", rewrite.rewritten_guided(keyed, before, None, mode))):
+        new = stored(_edited(made))
+        scores = _rescored(before, new, as_of_year).select(F.col("doc_id").alias("rid"), F.col("ai_signal").alias(f"{name}_after"))
         out = out.join(new.select(F.col("doc_id").alias("rid"), F.col("text").alias("new")), "rid").join(scores, "rid")
-        certified = preservation.certificate(F.col("text"), F.col("new")).alias(f"{name}_certificate")
+        certified = measures.certificate(F.col("text"), F.col("new")).alias(f"{name}_certificate")
         out = out.select("*", (F.col("new") != F.col("text")).alias(f"{name}_changed"), certified).drop("new")
     return out.drop("rid", "text")
 
@@ -147,7 +153,7 @@ def edited_word(
     items = stored(documents.eligible(structure).withColumn("rid", F.monotonically_increasing_id()))
     keyed, actual = items.select(F.col("rid").alias("doc_id"), "text"), editor
     if editor == "guided":
-        made = _guided(keyed, _scores(keyed, as_of_year), mode, terms)
+        made = rewrite.rewritten_guided(keyed, _scores(keyed, as_of_year), None, mode, terms)
     else:
         made = rewrite.rewritten(keyed, mode, terms)
     both = items.join(made.select(F.col("doc_id").alias("rid"), F.col("text").alias("candidate")), "rid")
