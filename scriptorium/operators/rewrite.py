@@ -113,11 +113,11 @@ def rewritten(docs: DataFrame, mode: str = "balanced", terms: list[str] | None =
     return chosen(stored(made), never_worse=True)
 
 
-def guided_families(scores: DataFrame) -> DataFrame:
-    """doc_id, families: active families but E and H, and those that the fingerprint's metrics call for."""
+def guided_families() -> Column:
+    """families, of private document scores: active families but E and H, and those that the fingerprint's metrics call for."""
     active = [F.when(F.col(k) > 0, F.lit(k)) for k in lx.FAMILY_WEIGHTS if k not in "EH"]
     metrics = [F.when(F.col(m) >= 35, F.lit(k)) for m, keys in METRIC_FAMILIES.items() for k in keys]
-    return scores.select("doc_id", F.array_sort(F.array_distinct(F.array_compact(F.array(*active, *metrics)))).alias("families"))
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*active, *metrics)))).alias("families")
 
 
 def rewritten_guided(docs: DataFrame, scores: DataFrame, segments: DataFrame | None = None, mode: str = "deep", terms: list[str] | None = None) -> DataFrame:
@@ -126,14 +126,15 @@ def rewritten_guided(docs: DataFrame, scores: DataFrame, segments: DataFrame | N
     scores: private document scores; segments: scored segments, where the scores do not hold the flagged ranges.
     """
     sources = _sources(docs, terms or [], 150, 0.65, 110, 0.18, 0.52)
-    if segments is None:
-        flagged = scores.select("doc_id", F.col("flagged_at").alias("at"))
+    if segments is None:  # one use of the scores, as two would read all texts twice
+        asked = scores.select("doc_id", guided_families(), F.col("flagged_at").alias("at"))
     else:
         flagged = segments.where("NOT protected AND risk > 0 AND band IN ('low', 'moderate', 'high')").groupBy("doc_id").agg(
             F.sort_array(F.collect_list(F.struct("start", "end"))).alias("at")
         )
+        asked = scores.select("doc_id", guided_families()).join(flagged, "doc_id")
     # rows that neither calls for an edit keep their text, as do repeated and null ids that are rows of their own
-    each = sources.join(guided_families(scores), "doc_id", "left").join(flagged, "doc_id", "left")
+    each = sources.join(asked, "doc_id", "left")
     run = _guided(GUIDED_LEVELS.get(mode, ["deep"]))
     return chosen(stored(each.withColumn("made", run("text", "terms", "change_limit", "families", "at"))), never_worse=False)
 

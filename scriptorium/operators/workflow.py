@@ -77,7 +77,7 @@ def edited_documents(
     targeted, actual, fell_back = keyed.select("doc_id", no_families.alias("targeted")), editor, None
     if editor == "guided":
         first = revised = stored(_edited(rewrite.rewritten_guided(keyed, before, None, mode, terms)))
-        targeted = rewrite.guided_families(before).withColumnRenamed("families", "targeted")
+        targeted = before.select("doc_id", rewrite.guided_families().alias("targeted"))
     else:
         first = revised = stored(_edited(rewrite.rewritten(keyed, mode, terms)))
         if editor == "model" and model is not None and mode in ("balanced", "deep"):
