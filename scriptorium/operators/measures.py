@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -38,24 +39,29 @@ def _struct(fields: str, **more: DataType) -> StructType:
     return out
 
 
-DOCUMENT = _struct(
+_PARTS = (
     "total_words long, assessed_words long, assessed_sentences long, assessed_paragraphs long",
-    sections=ArrayType(_struct("section string, n int, total int")), flagged_at=ArrayType(_struct("start int, end int")),
-    own_style=_struct(STYLE), style=_struct(STYLE), families=_struct(FAMILIES), paragraphs=_struct(PARAGRAPHS), distribution=_struct(DISTRIBUTION),
+    {"sections": ArrayType(_struct("section string, n int, total int")), "flagged_at": ArrayType(_struct("start int, end int"))},
+    {"style": _struct(STYLE), "families": _struct(FAMILIES), "paragraphs": _struct(PARAGRAPHS), "distribution": _struct(DISTRIBUTION)},
 )
+DOCUMENT, PROSE = _struct(_PARTS[0], **_PARTS[1], own_style=_struct(STYLE), **_PARTS[2]), _struct(_PARTS[0], **_PARTS[1], **_PARTS[2])
 
 
-def _measured(measure: Callable[[str], dict], made: StructType) -> Callable:
+def _measured(measure: Callable[[list[str]], Iterable[dict]], made: StructType) -> Callable:
     """A UDF of a text: a struct of its measures; null of a null text."""
 
     @F.arrow_udf(made)
     def run(text: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else measure(t) for t in text.to_pylist()], type=to_arrow_type(made))
+        texts = text.to_pylist()
+        found = iter(measure([t for t in texts if t is not None]))
+        return pa.array([None if t is None else next(found) for t in texts], type=to_arrow_type(made))
 
     return run
 
 
-style, families, document = _measured(scan.style, _struct(STYLE)), _measured(scan.families, _struct(FAMILIES)), _measured(scan.document, DOCUMENT)
+style, families = _measured(partial(map, scan.style), _struct(STYLE)), _measured(partial(map, scan.families), _struct(FAMILIES))
+#: All measures of a document; those without the style of the whole text.
+document, prose = _measured(scan.documents, DOCUMENT), _measured(partial(scan.documents, naturalness=False), PROSE)
 
 #: An edited text with what it breaks and its style.
 CANDIDATES = ArrayType(_struct("level string, candidate string", issues=ArrayType(StringType()), style=_struct(STYLE)))
