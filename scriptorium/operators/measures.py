@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import partial
+from functools import cache, partial
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -42,9 +42,9 @@ def _struct(fields: str, **more: DataType) -> StructType:
 _PARTS = (
     "total_words long, assessed_words long, assessed_sentences long, assessed_paragraphs long",
     {"sections": ArrayType(_struct("section string, n int, total int")), "flagged_at": ArrayType(_struct("start int, end int"))},
+    {"own_style": _struct(STYLE)},
     {"style": _struct(STYLE), "families": _struct(FAMILIES), "paragraphs": _struct(PARAGRAPHS), "distribution": _struct(DISTRIBUTION)},
 )
-DOCUMENT, PROSE = _struct(_PARTS[0], **_PARTS[1], own_style=_struct(STYLE), **_PARTS[2]), _struct(_PARTS[0], **_PARTS[1], **_PARTS[2])
 
 
 def _measured(measure: Callable[[list[str]], Iterable[dict]], made: StructType) -> Callable:
@@ -60,8 +60,15 @@ def _measured(measure: Callable[[list[str]], Iterable[dict]], made: StructType)
 
 
 style, families = _measured(partial(map, scan.style), _struct(STYLE)), _measured(partial(map, scan.families), _struct(FAMILIES))
-#: All measures of a document; those without the style of the whole text.
-document, prose = _measured(scan.documents, DOCUMENT), _measured(partial(scan.documents, naturalness=False), PROSE)
+
+
+@cache
+def document(naturalness: bool = True, context: bool = True) -> Callable:
+    """A UDF of a text: all measures of a document, but for the style of the whole text, or for sections and flagged ranges."""
+    coverage, places, own, prose = _PARTS
+    made = _struct(coverage, **places if context else {}, **own if naturalness else {}, **prose)
+    return _measured(partial(scan.documents, naturalness=naturalness, context=context), made)
+
 
 #: An edited text with what it breaks and its style.
 CANDIDATES = ArrayType(_struct("level string, candidate string", issues=ArrayType(StringType()), style=_struct(STYLE)))
