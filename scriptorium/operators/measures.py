@@ -29,6 +29,8 @@ DISTRIBUTION = (
     "top_share double, common_share double, n_words int, repeated_units long, sn int, pn int, density_s_cv double, density_p_cv double, syntax_share double, "
     "transitions int"
 )
+#: What the fingerprint takes besides style and distribution; latest: the last of the years that are named.
+MARKS = "typos int, vague int, latest int, percentages int, p_values int, coefficients int, certain int, unsupported int"
 _KINDS = {"int": IntegerType(), "long": LongType(), "double": DoubleType(), "boolean": BooleanType(), "string": StringType(), "array<int>": ArrayType(IntegerType())}
 
 
@@ -47,8 +49,8 @@ _PARTS = (
 )
 
 
-def _measured(measure: Callable[[list[str]], Iterable[dict]], made: StructType) -> Callable:
-    """A UDF of a text: a struct of its measures; null of a null text."""
+def _measured(measure: Callable[[list[str]], Iterable], made: DataType) -> Callable:
+    """A UDF of a text: its measures; null of a null text."""
 
     @F.arrow_udf(made)
     def run(text: pa.Array) -> pa.Array:
@@ -61,6 +63,9 @@ def _measured(measure: Callable[[list[str]], Iterable[dict]], made: StructType)
 
 style, families = _measured(partial(map, scan.style), _struct(STYLE)), _measured(partial(map, scan.families), _struct(FAMILIES))
 
+#: A UDF of a text: an array of one struct of what its fingerprint is made of, empty for a text without prose.
+fingerprint = _measured(scan.fingerprints, ArrayType(_struct(f"{DISTRIBUTION}, {MARKS}", style=_struct(STYLE))))
+
 
 @cache
 def document(naturalness: bool = True, context: bool = True) -> Callable:

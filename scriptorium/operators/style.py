@@ -166,28 +166,11 @@ def syntactic_signature(sentence: Column) -> Column:
     )
 
 
-def syntax_share(segments: DataFrame) -> DataFrame:
-    """doc_id, syntax_share: unprotected sentences whose construction, other than "other", occurs three times or more."""
-    each = segments.where("NOT protected").select("doc_id", syntactic_signature(F.col("text")).alias("signature"))
-    counted = each.groupBy("doc_id", "signature").agg(F.count(F.lit(1)).alias("n"))
-    repeated = F.when((F.col("signature") != "other") & (F.col("n") >= 3), F.col("n")).otherwise(0)
-    return counted.groupBy("doc_id").agg((F.sum(repeated) / F.sum("n")).alias("syntax_share"))
-
-
 def content_density(text: Column) -> Column:
     kept = F.filter(tx.words(text), lambda w: (F.length(w) > 2) & ~w.isin(*lx.STOPWORDS))
     return F.size(kept) / F.greatest(F.lit(1), tx.n_words(text))
 
 
-def semantic_density(prose: DataFrame, segments: DataFrame) -> DataFrame:
-    """doc_id, semantic_pct: how even the share of content words is over sentences and over paragraphs."""
-    by_sentence = segments.where("NOT protected").groupBy("doc_id").agg(F.collect_list(content_density(F.col("text"))).alias("s"))
-    blocks = F.filter(F.transform(F.split("text", r"(?U)\n\s*\n"), tx.strip), lambda p: p != "")
-    both = prose.select("doc_id", F.transform(blocks, content_density).alias("p")).join(by_sentence, "doc_id")
-    cv = both.select("doc_id", F.size("s").alias("sn"), F.size("p").alias("pn"), tx.variation(F.sort_array("s")).alias("s_cv"), tx.variation(F.col("p")).alias("p_cv"))
-    return cv.select("doc_id", evenness(F.col("sn"), F.col("s_cv"), F.col("pn"), F.col("p_cv")).alias("semantic_pct"))
-
-
 def evenness(sn: Column, s_cv: Column, pn: Column, p_cv: Column) -> Column:
     """0 to 100, from the numbers of sentences and paragraphs and how their shares of content words vary."""
     a = F.when((sn >= 6) & (s_cv < 0.12), 55).otherwise(F.greatest(F.lit(0.0), (F.lit(0.22) - s_cv) * 180))
@@ -197,24 +180,20 @@ def evenness(sn: Column, s_cv: Column, pn: Column, p_cv: Column) -> Column:
 
 def temporal_score(text: Column, as_of_year: int) -> Column:
     """0 to 100: vague time without years, years to come, or only old ones."""
-    vague = tx.hits(text, lx.VAGUE_TIME_WIDE)
     years = F.transform(tx.found(text, lx.YEAR), lambda y: y.cast("int"))
-    none = F.size(years) == 0
+    return untimely(tx.hits(text, lx.VAGUE_TIME_WIDE), F.array_max(years), as_of_year)
+
+
+def untimely(vague: Column, latest: Column, as_of_year: int) -> Column:
+    """The temporal score from how often time is vague, and the last year that is named, null if none is."""
     return tx.percent(
         F.when(vague > 0, F.least(F.lit(55), vague * 12)).otherwise(0)
-        + F.when((vague > 0) & none, 35).otherwise(0)
-        + F.when(F.exists(years, lambda y: y > as_of_year + 1), 45).otherwise(0)
-        + F.when(~none & (F.array_max(years) < as_of_year - 6) & (vague > 0), 25).otherwise(0)
+        + F.when((vague > 0) & latest.isNull(), 35).otherwise(0)
+        + F.when(latest > as_of_year + 1, 45).otherwise(0)
+        + F.when((latest < as_of_year - 6) & (vague > 0), 25).otherwise(0)
     )
 
 
-def claims(segments: DataFrame) -> DataFrame:
-    """doc_id, unsupported: unprotected sentences with a broad evidence claim and no citation."""
-    s = F.col("text")
-    hit = tx.has(s, lx.UNSUPPORTED) & ~tx.has(s, lx.CITATION)
-    return segments.where("NOT protected").groupBy("doc_id").agg(F.count_if(hit).alias("unsupported"))
-
-
 def implausibility(text: Column, unsupported: Column) -> Column:
     """0 to 100: impossible percentages, p-values and coefficients, unsupported claims, repeated certainty."""
 
@@ -222,10 +201,13 @@ def implausibility(text: Column, unsupported: Column) -> Column:
         caught = F.regexp_extract_all(text, F.lit(tx.rx(pattern)), 1)
         return F.size(F.filter(caught, lambda v: bad(v.cast("double"))))
 
-    percentages = tx.hits(text, lx.IMPLAUSIBLE_PERCENT)
     p = values(lx.P_VALUE, lambda v: (v < 0) | (v > 1))
     r = values(lx.COEFFICIENT, lambda v: F.abs(v) > 1)
-    certain = tx.hits(text, lx.CERTAINTY)
+    return implausible(tx.hits(text, lx.IMPLAUSIBLE_PERCENT), p, r, unsupported, tx.hits(text, lx.CERTAINTY))
+
+
+def implausible(percentages: Column, p: Column, r: Column, unsupported: Column, certain: Column) -> Column:
+    """The score of implausibility from the numbers of what is."""
     return tx.percent(
         F.least(F.lit(50), percentages * 25) + F.least(F.lit(45), p * 20) + F.least(F.lit(45), r * 20)
         + F.least(F.lit(45), unsupported * 15) + F.when(certain >= 4, F.least(F.lit(30), (certain - 3) * 6)).otherwise(0)
@@ -245,31 +227,27 @@ GROUPS = {
 }
 
 
-def fingerprint(prose: DataFrame, segments: DataFrame, style: DataFrame, as_of_year: int, targets: Variation | None = None) -> DataFrame:
-    """doc_id, the eleven metrics (0 to 100), a percentage for each group of them, and statistical_pct.
+def fingerprint(docs: DataFrame, as_of_year: int, targets: Variation | None = None) -> DataFrame:
+    """doc_id, the eleven metrics (0 to 100), a percentage for each group of them, and statistical_pct, of the prose of documents that have some.
 
-    prose(doc_id, text), its segments, and the style report of the prose.
+    docs(doc_id, text); one reading of each text.
     """
     t, c = targets or Variation(), F.col
-    joined = (
-        prose.join(style, "doc_id")
-        .join(top_token_share(prose).drop("n_words"), "doc_id", "left")
-        .join(ngram_repetition(prose).select("doc_id", "ngram_pct"), "doc_id", "left")
-        .join(semantic_density(prose, segments), "doc_id", "left")
-        .join(syntax_share(segments), "doc_id", "left")
-        .join(claims(segments), "doc_id", "left")
-        .na.fill(0)
-    )
-    total = F.greatest(F.lit(1), tx.n_words(c("text")))
-    typos = tx.hits(c("text"), lx.TYPO)
+    # dealt out anew, as a file of a few MB may hold work for an hour
+    read = docs.repartition("doc_id").select("doc_id", F.inline(measures.fingerprint(c("text"))))
+    known = read.select(
+        "*", *report_of(c("style"), t), ngram_share(c("repeated_units"), c("n_words")).alias("ngram_pct"),
+        evenness(c("sn"), c("density_s_cv"), c("pn"), c("density_p_cv")).alias("semantic_pct"),
+    )
+    total, typos = c("n_words"), c("typos")
     polished = F.when((total >= 250) & (typos == 0), F.when(total < 800, 55).otherwise(75)).when(typos > 0, F.greatest(F.lit(0), 25 - F.least(F.lit(25), typos * 4)))
-    metrics = weighted_metrics(t, tx.hits(c("text"), lx.TRANSITION_WORDS)) | {
+    metrics = weighted_metrics(t, c("transitions")) | {
         "typo_absence": F.coalesce(polished, F.lit(0)),
-        "temporal_awareness": temporal_score(c("text"), as_of_year),
-        "hallucination_patterns": implausibility(c("text"), c("unsupported")),
+        "temporal_awareness": untimely(c("vague"), c("latest"), as_of_year),
+        "hallucination_patterns": implausible(*map(c, ("percentages", "p_values", "coefficients", "unsupported", "certain"))),
     }
     order = [*(k for keys in GROUPS.values() for k in keys)]
-    out = joined.select("doc_id", *[metrics[k].cast("int").alias(k) for k in order])
+    out = known.select("doc_id", *[metrics[k].cast("int").alias(k) for k in order])
     groups = {f"{g}_pct": tx.percent(sum((c(k) for k in keys), F.lit(0)) / len(keys)) for g, keys in GROUPS.items()}
     return out.withColumns(groups | {"statistical_pct": statistical()})
 
